@@ -115,14 +115,11 @@ def score(docs: DataFrame, reject_rate: float = REJECT_RATE) -> DataFrame:
 def keep(docs: DataFrame, reject_rate: float = REJECT_RATE) -> DataFrame:
     """``docs`` without the rejected documents; all columns stay."""
     hosts = cut(host_verdicts(base_rules(docs), reject_rate))
-    kept_hosts = hosts.filter("host_kept").select("host")
+    kept_hosts = hosts.filter("host_kept").select(F.col("host").alias("__host"))
     few = hosts.count() <= BROADCAST_HOSTS
-    names = docs.columns
-    if few:
-        good = docs.join(F.broadcast(kept_hosts), F.col("source").cast("string").eqNullSafe(F.col("host")), "left_semi")
-    else:
-        good = docs.join(kept_hosts, F.col("source").cast("string").eqNullSafe(F.col("host")), "left_semi")
-    return good.select(*names).mapInArrow(_keep_passing, docs.schema)
+    on = docs["source"].cast("string").eqNullSafe(kept_hosts["__host"])
+    good = docs.join(F.broadcast(kept_hosts) if few else kept_hosts, on, "left_semi")
+    return good.mapInArrow(_keep_passing, docs.schema)
 
 
 def _keep_passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
