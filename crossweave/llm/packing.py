@@ -12,16 +12,19 @@ packed as often as they occur; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossweave.llm.bpe import encoder
+from crossweave.llm.bpe import WORD_PATTERN, byte_alphabet
 from crossweave.llm.common import arrow_map, texts
 
 LENGTH = 1024
@@ -31,6 +34,21 @@ OPEN_BINS = 32_768
 WINDOW = 16_384
 
 
+_encodings: dict[str, tiktoken.Encoding] = {}
+
+
+def encoding(spec: bytes) -> tiktoken.Encoding:
+    """A compiled encoder with the vocabulary of a tokenizers JSON file (its content), whose ids are merge ranks."""
+    key = hashlib.sha256(spec).hexdigest()
+    if key not in _encodings:
+        d = json.loads(spec)
+        alphabet = byte_alphabet()
+        ranks = {bytes(alphabet[c] for c in token): id_ for token, id_ in d["model"]["vocab"].items()}
+        special = {x["content"]: x["id"] for x in d["added_tokens"]}
+        _encodings[key] = tiktoken.Encoding(key, pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return _encodings[key]
+
+
 def cut_points(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     """(start, size) of the pieces of a document of n tokens."""
     over = n % length
@@ -79,11 +97,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(spec.value)
+        bpe = encoding(spec.value)
         for batch in batches:
             rows = []
             for row, text in enumerate(texts(batch.column("text"))):
-                ids = bpe.encode(text) + end
+                ids = bpe.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes() + end
                 rows += [(row, k, a, n, zlib.crc32(ids[4 * a : 4 * (a + n)])) for k, (a, n) in enumerate(cut_points(len(ids) // 4, length))]
             made = np.array(rows, np.int64).reshape(-1, 5)
             columns = [batch.column("doc_id").take(pa.array(made[:, 0])), pa.array(made[:, 1].astype(np.int32)), *(pa.array(made[:, k]) for k in (2, 3, 4))]

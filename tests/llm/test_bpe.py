@@ -13,10 +13,12 @@ from crossweave.llm import bpe, packing
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 reference = Tokenizer.from_file(PATH)
 ours = bpe.encoder(open(PATH, "rb").read())
+compiled = packing.encoding(open(PATH, "rb").read())
 
 
 def same(text):
     want = reference.encode(text, add_special_tokens=False).ids
+    assert compiled.encode(text, allowed_special="all") == want
     assert np.frombuffer(ours.encode(text), "<u4").tolist() == want
     assert ours.decode(np.array(want, "<u4")).decode("utf-8", "replace") == reference.decode(want, skip_special_tokens=False)
 
