@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,4 +52,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(partitions(df.sparkSession), *[F.col(k) for k in keys])
 
 
-STORAGE = StorageLevel.DISK_ONLY
+
+def store(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared checkpoint folder and read it back: compact, and safe from lost executors."""
+    spark = df.sparkSession
+    with_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/crossweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
