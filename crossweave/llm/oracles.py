@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from crossweave.llm.license_scan import TEMPLATES
+
 OP10 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text,
@@ -29,6 +31,74 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
 """
 
+_LICENCES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in sorted(TEMPLATES.items()))
+_GRAMS = "list_distinct(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))"
+_WORDS = r"string_split(trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')"
+
+OP2 = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+parts AS (
+  SELECT DISTINCT r, part FROM (
+    SELECT r, unnest(string_split(text, chr(10))) AS part FROM d
+    UNION ALL SELECT r, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) FROM d
+    UNION ALL SELECT r, text FROM d)),
+pw AS (SELECT r, part, {_WORDS.format("part")} AS w FROM parts),
+pg AS (SELECT r, part, {_GRAMS} AS g FROM pw WHERE len(w) BETWEEN 2 AND 400),
+tw AS (SELECT name, {_WORDS.format("body")} AS w FROM (VALUES {_LICENCES}) t(name, body)),
+tg AS (SELECT name, {_GRAMS} AS h FROM tw),
+pe AS (SELECT r, part, len(g) AS a, unnest(g) AS gram FROM pg),
+te AS (SELECT name, len(h) AS b, unnest(h) AS gram FROM tg),
+common AS (SELECT r, part, name, any_value(a) AS a, any_value(b) AS b, count(*) AS c FROM pe JOIN te USING (gram) GROUP BY r, part, name),
+found AS (SELECT r, part, name, 2.0::DOUBLE * c / (a + b) AS sim FROM common WHERE 2.0 * c / (a + b) >= 0.8 - 1e-9),
+best AS (
+  SELECT r, arg_min(name, (-sim, name)) AS license, round(max(sim), 6) AS similarity,
+         string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(DISTINCT part) AS n_matches
+  FROM found GROUP BY r)
+SELECT doc_id, license, coalesce(similarity, 0.0)::DOUBLE AS similarity, licenses, coalesce(n_matches, 0)::BIGINT AS n_matches
+FROM d LEFT JOIN best USING (r)
+"""
+
+OP4 = r"""
+WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn, role, string_split(coalesce(text, ''), chr(10)) AS lines FROM conversations),
+l AS (
+  SELECT r, conv_id, turn, i, line, length(regexp_replace(regexp_extract(line, '^((?:[ \t]*>)+)', 1), '[^>]', '', 'g')) AS level,
+         trim(regexp_replace(regexp_replace(line, '^((?:[ \t]*>)+)', ''), '[ \t\r]+', ' ', 'g')) AS bare
+  FROM (SELECT r, conv_id, turn, unnest(range(1, len(lines) + 1)) AS i, unnest(lines) AS line FROM m)),
+lv AS (SELECT *, CASE WHEN bare = '' THEN -1 ELSE level END AS lev FROM l),
+st AS (SELECT *, sum(CASE WHEN before IS DISTINCT FROM lev THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run
+       FROM (SELECT *, lag(lev) OVER (PARTITION BY r ORDER BY i) AS before, lead(level) OVER (PARTITION BY r ORDER BY i) AS after FROM lv)),
+p AS (
+  SELECT r, conv_id, turn, place, level, md5(t) AS hash FROM (
+    SELECT r, any_value(conv_id) AS conv_id, any_value(turn) AS turn, min(i) AS place, any_value(lev) AS level, lower(string_agg(bare, ' ' ORDER BY i)) AS t
+    FROM st WHERE lev >= 0 GROUP BY r, run) WHERE length(t) >= 12),
+q AS (SELECT * FROM p WHERE level > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL),
+here AS (SELECT hash, conv_id, min(turn) AS turn FROM p WHERE level = 0 AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+first AS (SELECT hash, min((conv_id, turn)) AS f FROM here GROUP BY hash),
+linked AS (
+  SELECT q.conv_id, q.turn, q.level, q.place, CASE WHEN here.turn < q.turn THEN (here.conv_id, here.turn) WHEN f < (q.conv_id, q.turn) THEN f END AS target
+  FROM q LEFT JOIN here ON q.hash = here.hash AND q.conv_id = here.conv_id LEFT JOIN first ON q.hash = first.hash),
+reply AS (SELECT conv_id, turn, arg_min(target, (level, place, target)) AS target FROM linked WHERE target IS NOT NULL GROUP BY conv_id, turn),
+flat AS (SELECT conv_id, turn, target[1] AS to_conv, target[2] AS to_turn FROM reply),
+walk AS (
+  SELECT conv_id, turn, to_conv AS c, to_turn AS t, 1 AS depth FROM flat
+  UNION ALL SELECT w.conv_id, w.turn, f.to_conv, f.to_turn, depth + 1 FROM walk w JOIN flat f ON w.c = f.conv_id AND w.t = f.turn),
+root AS (SELECT conv_id, turn, arg_max(c, depth) AS c, arg_max(t, depth) AS t, max(depth) AS depth FROM walk GROUP BY ALL),
+content AS (
+  SELECT r, regexp_replace(regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY i), ''), '^\s+|\s+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS content
+  FROM st WHERE level = 0 AND NOT (regexp_matches(line, '^On .+ wrote:[ \t]*$') AND coalesce(after, 0) > 0) GROUP BY r),
+quotes AS (SELECT r, count(*) AS n, max(level) AS most FROM p WHERE level > 0 GROUP BY r)
+SELECT m.conv_id, m.turn, m.role, coalesce(content, '') AS content, coalesce(n, 0)::BIGINT AS n_quotes, coalesce(most, 0)::INTEGER AS max_level,
+       to_conv AS reply_conv, to_turn AS reply_turn,
+       CASE WHEN m.conv_id IS NOT NULL AND m.turn IS NOT NULL THEN coalesce(root.c, m.conv_id) END AS thread_conv,
+       CASE WHEN m.conv_id IS NOT NULL AND m.turn IS NOT NULL THEN coalesce(root.t, m.turn) END AS thread_turn,
+       coalesce(depth, 0)::INTEGER AS depth
+FROM m LEFT JOIN content USING (r) LEFT JOIN quotes USING (r)
+LEFT JOIN flat ON m.conv_id = flat.conv_id AND m.turn = flat.turn
+LEFT JOIN root ON m.conv_id = root.conv_id AND m.turn = root.turn
+"""
+
 ORACLES = {
+    "op2_license_scan": OP2,
+    "op4_chat_formatting": OP4,
     "op10_quality_rules": OP10,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossweave.llm import bpe, fingerprints, html_extraction, packing, quality_rules, simhash, suffix_dedup, toxicity
+from crossweave.llm import bpe, fingerprints, html_extraction, license_scan, packing, quality_rules, quotations, simhash, suffix_dedup, toxicity
 from crossweave.llm.common import table
 
 #: The tokenizer file of the contracts; the operators take its path as a parameter.
@@ -24,10 +24,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.link(table(spark, sf_dir, "conversations"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.measure(table(spark, sf_dir, "documents"))
 
@@ -51,7 +59,9 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_license_scan": op2_license_scan,
     "op3_html_extraction": op3_html_extraction,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_bpe": op6_bpe,
     "op7_packing": op7_packing,
