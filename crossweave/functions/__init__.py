@@ -1 +1 @@
-""""""
+"""Column expressions: names and pairs, packed strings, numeric shaping."""

@@ -8,3 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Register a function of (spark, sf_dir) by its name, with its SQL."""
+
+    def keep(function: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return keep
+
+
+from crossweave.plans import queries_analysis, queries_base, queries_mapping  # noqa: E402, F401  they register themselves

@@ -1 +1 @@
-""""""
+"""Hits that arrive over time."""
