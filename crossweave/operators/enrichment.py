@@ -27,19 +27,19 @@ def tested(targets: DataFrame, sets: DataFrame) -> DataFrame:
     lf = F.broadcast(log_factorials(sets.sparkSession, n_all))  # one number for each gene of the sets: megabytes at most
     hit = targets.select("node", "gene").distinct().join(background, "gene", "left_semi")
     n_target = hit.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    size = sets.groupBy("term").agg(F.count(F.lit(1)).alias("B"))
+    size = sets.groupBy("term").agg(F.count(F.lit(1)).alias("m"))
     overlap = hit.join(sets, "gene").groupBy("node", "term").agg(F.count(F.lit(1)).alias("b"), F.array_join(F.array_sort(F.collect_set("gene")), ";").alias("genes"))
-    cases = overlap.join(n_target, "node").join(size, "term").withColumn("x", F.explode(F.sequence("b", F.least("n", "B"))))
-    cases = cases.filter(F.col("n") - F.col("x") <= n_all - F.col("B"))
+    cases = overlap.join(n_target, "node").join(size, "term").withColumn("x", F.explode(F.sequence("b", F.least("n", "m"))))
+    cases = cases.filter(F.col("n") - F.col("x") <= n_all - F.col("m"))
 
     def factorial(df: DataFrame, name: str, value) -> DataFrame:
         return df.withColumn("__n", value.cast("long")).join(lf.select(F.col("n").alias("__n"), F.col("lf").alias(name)), "__n").drop("__n")
 
-    n, big, x, total = F.col("n"), F.col("B"), F.col("x"), F.lit(n_all)
-    terms = {"lB": big, "lx": x, "lBx": big - x, "lr": total - big, "lnx": n - x, "lrn": total - big - n + x, "lN": total, "ln": n, "lNn": total - n}
+    n, big, x, total = F.col("n"), F.col("m"), F.col("x"), F.lit(n_all)
+    terms = {"l1": big, "l2": x, "l3": big - x, "l4": total - big, "l5": n - x, "l6": total - big - n + x, "l7": total, "l8": n, "l9": total - n}
     for name, value in terms.items():
         cases = factorial(cases, name, value)
-    log_p = F.col("lB") - F.col("lx") - F.col("lBx") + F.col("lr") - F.col("lnx") - F.col("lrn") - F.col("lN") + F.col("ln") + F.col("lNn")
+    log_p = F.col("l1") - F.col("l2") - F.col("l3") + F.col("l4") - F.col("l5") - F.col("l6") - F.col("l7") + F.col("l8") + F.col("l9")
     return cases.groupBy("node", "term", "b", "genes").agg(F.sum(F.exp(log_p)).alias("p")).select("node", "term", F.col("b").alias("n_overlap"), F.least("p", F.lit(1.0)).alias("p"), "genes")
 
 

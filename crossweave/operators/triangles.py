@@ -30,7 +30,7 @@ def gene_triangles(homology: DataFrame, orthologs: DataFrame, threshold: float =
     """Three features of three datasets, all edges at least at the threshold and their least over it, all three pairs orthologs.
 
     With ``markers(gene, cluster, score, pval)``, ``type_*`` names each feature's best cluster and those where it is significant."""
-    edges = homology.filter((F.col("weight") >= threshold) & (F.col("g1") < F.col("g2")) & (F.col("s1") <> F.col("s2")))
+    edges = homology.filter((F.col("weight") >= threshold) & (F.col("g1") < F.col("g2")) & (F.col("s1") != F.col("s2")))
     found = triangles(edges.select(F.col("g1").alias("a"), F.col("g2").alias("b"), F.col("weight").alias("w")))
     species = edges.select(F.col("g1").alias("g"), F.col("s1").alias("s")).unionByName(edges.select(F.col("g2").alias("g"), F.col("s2").alias("s"))).distinct()
     for x in "abc":
@@ -41,7 +41,7 @@ def gene_triangles(homology: DataFrame, orthologs: DataFrame, threshold: float =
         found = found.join(flag, [x, y], "left").withColumn(f"type_{x}{y}", F.coalesce(f"type_{x}{y}", F.lit("homolog")))
     count = sum(((F.col(f"type_{p}") == "ortholog").cast("int") for p in ("ac", "bc")), (F.col("type_ab") == "ortholog").cast("int"))
     rated = found.withColumns({"n_orthologs": count, "min_corr": F.least("w_ab", "w_ac", "w_bc")})
-    kept = rated.filter((F.col("s_a") <> F.col("s_c")) & (F.col("n_orthologs") == 3) & (F.col("min_corr") > threshold))
+    kept = rated.filter((F.col("s_a") != F.col("s_c")) & (F.col("n_orthologs") == 3) & (F.col("min_corr") > threshold))
     if markers is not None:
         types = cell_types(markers, p_threshold)
         for x in "abc":
