@@ -32,6 +32,8 @@ SHINGLE = 3
 BUDGET = 3
 BANDS = 4
 BAND_BITS = 64 // BANDS
+#: doc_ids are below this.
+NO_IDS = 2**62
 #: Fingerprints in a task's trie, unless the band's value has fewer.
 MAX_GROUP = 8192
 #: Node pairs with at most so many pairs of leaves are compared leaf by leaf.
@@ -136,56 +138,61 @@ def forest(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
 
 def _link_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by trie and fingerprint; a trie never spans two chunks."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, ...]] = []
+    names = ("trie", "fp", "node")
 
-    def links(tries: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+    def links(tries: np.ndarray, prints: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
         values = prints.view(np.uint64)
         cuts = np.flatnonzero(np.concatenate(([True], tries[1:] != tries[:-1])))
         ends = np.append(cuts[1:], len(tries))
         many = ends - cuts > 1
         label = forest(len(values), trie_pairs(values, cuts[many], ends[many]))
         linked = np.flatnonzero(label != np.arange(len(values)))
-        return pa.RecordBatch.from_arrays([pa.array(prints[linked]), pa.array(prints[label[linked]])], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[label[linked]])], names=["u", "v"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append((batch.column("trie").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy(zero_copy_only=False)))
-        if sum(len(t) for t, _ in held) >= CHUNK_ROWS:
-            tries, prints = (np.concatenate(x) for x in zip(*held))
-            last = int(np.searchsorted(np.cumsum(tries[::-1] != tries[-1]), 1))
-            end = len(tries) - last
+        held.append(tuple(batch.column(n).to_numpy(zero_copy_only=False) for n in names))
+        if sum(len(x[0]) for x in held) >= CHUNK_ROWS:
+            rows = [np.concatenate(x) for x in zip(*held)]
+            last = int(np.searchsorted(np.cumsum(rows[0][::-1] != rows[0][-1]), 1))
+            end = len(rows[0]) - last
             if end:
-                yield links(tries[:end], prints[:end])
-            held = [(tries[end:], prints[end:])]
+                yield links(*(x[:end] for x in rows))
+            held = [tuple(x[end:] for x in rows)]
     if held:
         yield links(*(np.concatenate(x) for x in zip(*held)))
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """u, v: a spanning forest of the links between distinct fingerprints (``prints.fp``)."""
+    """u, v: a spanning forest of the links between distinct fingerprints, as their nodes (``prints``: fp, node)."""
     n = partitions(prints.sparkSession)
     value = lambda k: F.shiftrightunsigned(F.col("fp"), BAND_BITS * k).bitwiseAND(2**BAND_BITS - 1)
     bands = F.array(*[(F.lit(k * 2**BAND_BITS).cast("long") + value(k)) for k in range(BANDS)])
-    rows = prints.select("fp", F.explode(bands).alias("band"))
+    rows = prints.select("fp", "node", F.explode(bands).alias("band"))
     large = cut(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MAX_GROUP).select("band", F.ceil(F.col("n") / MAX_GROUP).cast("int").alias("blocks")))
     blocked = rows.join(large, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     # The block of a fingerprint is read off its bits, mixed; it meets every block once.
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.least(b, own) * F.col("blocks") + F.greatest(b, own))
-    tries = blocked.select("fp", F.explode(meets).alias("pair"), "band").select("fp", F.xxhash64("band", "pair").alias("trie"), "band", "pair")
+    tries = blocked.select("fp", "node", F.explode(meets).alias("pair"), "band").select(F.xxhash64("band", "pair").alias("trie"), "fp", "node")
     dealt = tries.repartition(n, "trie").sortWithinPartitions("trie", F.col("fp") < 0, "fp")
-    return arrow_map(dealt.select("trie", "fp"), _link_tries, "u long, v long")
+    return arrow_map(dealt, _link_tries, "u long, v long")
 
 
 def components(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of every document."""
+    """doc_id, fp, component_id of every document.
+
+    A fingerprint's node is its smallest doc_id, so the smallest node reachable is the component. Fingerprints
+    of rows without any doc_id have nodes from ``NO_IDS`` on: those that share one differ in two bits at most."""
     prints = cut(fingerprints(docs))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    tree = roots(links(distinct.select("fp")))
-    rooted = distinct.join(tree, distinct["fp"] == tree["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
+    node = F.coalesce(F.min("doc_id").cast("long"), F.lit(NO_IDS) + F.shiftrightunsigned("fp", 2))
+    distinct = prints.groupBy("fp").agg(node.alias("node"))
+    tree = roots(links(distinct)).select("node", "root")
+    component = F.coalesce("root", "node")
+    kind = docs.schema["doc_id"].dataType
+    labels = distinct.join(tree, "node", "left").select("fp", F.when(component < NO_IDS, component).cast(kind).alias("component_id"))
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -71,17 +71,17 @@ def test_components_with_small_blocks(spark, monkeypatch):
     values += [0xABCD << 48 | 1 << k for k in range(40)]
     prints = {i: v for i, v in enumerate(dict.fromkeys(values))}
     signed = lambda v: v - 2**64 if v >= 2**63 else v
-    df = spark.createDataFrame([(signed(v),) for v in prints.values()], "fp long")
+    df = spark.createDataFrame([(signed(v), i) for i, v in prints.items()], "fp long, node long")
     from crossweave.llm.components import roots
 
     tree = {r["node"]: r["root"] for r in roots(simhash.links(df)).collect()}
     got = {}
-    for i, v in prints.items():
-        got.setdefault(tree.get(signed(v), signed(v)), set()).add(i)
+    for i in prints:
+        got.setdefault(tree.get(i, i), set()).add(i)
     want = {}
     for i, root in brute_components(prints).items():
         want.setdefault(root, set()).add(i)
-    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert got == want
 
 
 def test_documents(odd_docs, no_docs):
@@ -98,3 +98,12 @@ def test_documents(odd_docs, no_docs):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(set(want.values()))
     assert simhash.components(no_docs).count() == 0
     assert simhash.keep_one(no_docs).count() == 0
+
+
+def test_rows_without_ids(spark):
+    text = " ".join(f"w{i}" for i in range(4000))
+    near = text + " more"
+    assert 0 < (brute_fp(text) ^ brute_fp(near)).bit_count() <= 3
+    rows = [(None, text), (None, text), (None, "quite another text, " * 9), (5, near), (9, near + " x")]
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got.count((None, 5)) == 2 and (None, None) in got and (5, 5) in got
