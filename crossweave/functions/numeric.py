@@ -5,9 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -30,10 +29,12 @@ def neg_log10(p: Column) -> Column:
     return -F.log10(p)
 
 
-def log_factorials(spark: SparkSession, upto: int) -> DataFrame:
-    """n, lf = ln(n!) for 0..upto: one prefix sum, exact in order."""
-    values = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, upto + 1, dtype=float)))))
-    return spark.createDataFrame(pd.DataFrame({"n": np.arange(upto + 1), "lf": values}), "n long, lf double")
+def ln_factorial(n: Column) -> Column:
+    """ln(n!) for n >= 0: sums of logarithms below 20, Stirling's series from there (within 1e-12)."""
+    small = F.array(*[F.lit(math.lgamma(k + 1)) for k in range(20)])
+    x = n.cast("double")
+    series = (x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    return F.when(n < 20, F.get(small, n.cast("int"))).otherwise(series)
 
 
 @F.pandas_udf(DoubleType())

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossweave.constants import FDR_THRESHOLD, P_THRESHOLD
-from crossweave.functions.numeric import log_factorials, neg_log10
+from crossweave.functions.numeric import ln_factorial, neg_log10
 from crossweave.functions.text import qualify, unpack
 
 
@@ -20,11 +20,10 @@ def tested(targets: DataFrame, sets: DataFrame) -> DataFrame:
     """node, term, n_overlap, p, genes: for each node's targets(node, gene), every term that shares a gene with them.
 
     p is the chance of as many or more of the term's genes among as many draws from all genes of the sets. Genes
-    count once for a term. Log factorials come from a table as long as the number of genes."""
+    count once for a term."""
     sets = sets.select("term", "gene").distinct()
     background = sets.select("gene").distinct()
     n_all = background.count()
-    lf = F.broadcast(log_factorials(sets.sparkSession, n_all))  # one number for each gene of the sets: megabytes at most
     hit = targets.select("node", "gene").distinct().join(background, "gene", "left_semi")
     n_target = hit.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     size = sets.groupBy("term").agg(F.count(F.lit(1)).alias("m"))
@@ -32,14 +31,10 @@ def tested(targets: DataFrame, sets: DataFrame) -> DataFrame:
     cases = overlap.join(n_target, "node").join(size, "term").withColumn("x", F.explode(F.sequence("b", F.least("n", "m"))))
     cases = cases.filter(F.col("n") - F.col("x") <= n_all - F.col("m"))
 
-    def factorial(df: DataFrame, name: str, value) -> DataFrame:
-        return df.withColumn("__n", value.cast("long")).join(lf.select(F.col("n").alias("__n"), F.col("lf").alias(name)), "__n").drop("__n")
-
-    n, big, x, total = F.col("n"), F.col("m"), F.col("x"), F.lit(n_all)
-    terms = {"l1": big, "l2": x, "l3": big - x, "l4": total - big, "l5": n - x, "l6": total - big - n + x, "l7": total, "l8": n, "l9": total - n}
-    for name, value in terms.items():
-        cases = factorial(cases, name, value)
-    log_p = F.col("l1") - F.col("l2") - F.col("l3") + F.col("l4") - F.col("l5") - F.col("l6") - F.col("l7") + F.col("l8") + F.col("l9")
+    n, m, x, total = F.col("n"), F.col("m"), F.col("x"), F.lit(n_all)
+    plus = (m, total - m, n, total - n)
+    minus = (x, m - x, n - x, total - m - n + x, total)
+    log_p = sum(map(ln_factorial, plus), F.lit(0.0)) - sum(map(ln_factorial, minus), F.lit(0.0))
     return cases.groupBy("node", "term", "b", "genes").agg(F.sum(F.exp(log_p)).alias("p")).select("node", "term", F.col("b").alias("n_overlap"), F.least("p", F.lit(1.0)).alias("p"), "genes")
 
 

@@ -118,8 +118,7 @@ def tanh_scale(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT p_size, round(lgamma(p_size + 1), 6) AS lf, count(*) AS n FROM part GROUP BY p_size")
 def log_factorial(spark: SparkSession, d: str) -> DataFrame:
     sizes = table(spark, d, "part").groupBy("p_size").agg(F.count(F.lit(1)).alias("n"))
-    known = numeric.log_factorials(spark, 100).withColumnRenamed("n", "k")
-    return sizes.join(F.broadcast(known), F.col("p_size") == F.col("k")).select("p_size", r("lf").alias("lf"), "n")
+    return sizes.select("p_size", r(numeric.ln_factorial(F.col("p_size"))).alias("lf"), "n")
 
 
 @query(with_tables("hits", f"SELECT query, target, bitscore FROM hits WHERE evalue <= {EVALUE} AND query IS NOT NULL AND target IS NOT NULL"))
