@@ -18,8 +18,8 @@ def _state(edges: DataFrame) -> tuple:
 def roots(links: DataFrame) -> DataFrame:
     """node, root (the smallest node reachable) for every node of ``links(u, v)`` that isn't its own root.
 
-    Only counts and checksums reach the driver. Minima are summed up before each shuffle, and the joins that
-    follow are plain equi-joins, so a hub's rows are split by adaptive execution.
+    Only counts and checksums reach the driver. Minima are summed up before each shuffle and read back, so that
+    the joins that follow are plain equi-joins of two tables, in which adaptive execution splits a hub's rows.
     """
     edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     before = _state(edges)
@@ -27,9 +27,10 @@ def roots(links: DataFrame) -> DataFrame:
         if before[0] == 0:
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         edges = cut(small.filter("u <> v").distinct())
         after = _state(edges)

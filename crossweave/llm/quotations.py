@@ -71,8 +71,9 @@ def replies(parsed: DataFrame) -> DataFrame:
     flat = parsed.filter(F.col("conv_id").isNotNull() & F.col("turn").isNotNull()).select(F.col("conv_id").alias("conv"), F.col("turn").alias("turn"), F.explode("__passages").alias("p")).select("conv", "turn", "p.at", "p.level", "p.hash")
     quoted = flat.filter("level > 0")
     own = flat.filter("level = 0").join(quoted.select("hash").distinct(), "hash", "left_semi")
-    here = own.groupBy("hash", "conv").agg(F.min("turn").alias("here_turn"))
-    first = here.groupBy("hash").agg(F.min(F.struct(F.col("conv").alias("conv"), F.col("here_turn").alias("turn"))).alias("first"))
+    # Read back, originals meet quotations in plain joins, whose hot passages adaptive execution can split.
+    here = cut(own.groupBy("hash", "conv").agg(F.min("turn").alias("here_turn")))
+    first = cut(here.groupBy("hash").agg(F.min(F.struct(F.col("conv").alias("conv"), F.col("here_turn").alias("turn"))).alias("first")))
     met = quoted.join(here, ["hash", "conv"], "left").join(first, "hash", "left")
     same = F.col("here_turn") < F.col("turn")
     before = F.col("first") < F.struct(F.col("conv").alias("conv"), F.col("turn").alias("turn"))

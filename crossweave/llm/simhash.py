@@ -192,7 +192,8 @@ def components(docs: DataFrame) -> DataFrame:
     tree = roots(links(distinct)).select("node", "root")
     component = F.coalesce("root", "node")
     kind = docs.schema["doc_id"].dataType
-    labels = distinct.join(tree, "node", "left").select("fp", F.when(component < NO_IDS, component).cast(kind).alias("component_id"))
+    # Read back, the labels meet the documents in a plain join, whose hot fingerprints adaptive execution can split.
+    labels = cut(distinct.join(tree, "node", "left").select("fp", F.when(component < NO_IDS, component).cast(kind).alias("component_id")))
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
