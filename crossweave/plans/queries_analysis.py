@@ -257,3 +257,15 @@ def concat_datasets(spark: SparkSession, d: str) -> DataFrame:
 @query(with_tables("cells", "SELECT species, cell, cluster FROM cells WHERE species IN ('au', 'bu')"))
 def species_subset(spark: SparkSession, d: str) -> DataFrame:
     return datasets.of_species(domain.customers(spark, d), ["au", "bu"])
+
+
+@query(with_tables("latent", f"SELECT DISTINCT a.c AS c1, b.c AS c2 FROM (SELECT DISTINCT cluster AS c, species AS s FROM latent) a, (SELECT DISTINCT cluster AS c, species AS s FROM latent) b, sc WHERE a.s < b.s AND sc.c1 = a.c AND sc.c2 = b.c AND score >= {SCORE} AND (a.c = 's0_3' OR b.c = 's0_3')", near=NEAR, knn=WEIGHTS, sc=score_sql()))
+def clusters_connected(spark: SparkSession, d: str) -> DataFrame:
+    """The mapped pairs that cluster s0_3 is in."""
+    return gene_pairs.mapped_clusters(mapping(spark, d), domain.latent(spark, d).drop("vec"), SCORE, "s0_3").select("c1", "c2")
+
+
+@query(with_tables("expr genes", "SELECT gene, string_agg(cluster, ';' ORDER BY cluster) AS types FROM (SELECT gene, arg_max(cluster, (greatest(z, 0), cluster)) AS cluster FROM zs GROUP BY gene UNION SELECT gene, cluster FROM zs WHERE z > 2.5758293035489004) GROUP BY gene", **MARKERS))
+def gene_cell_types(spark: SparkSession, d: str) -> DataFrame:
+    """Each feature's best cluster and those with p <= 0.01 (z over 2.5758)."""
+    return triangles.cell_types(marker_table(spark, d), 0.01)

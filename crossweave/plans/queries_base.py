@@ -10,6 +10,7 @@ from crossweave.operators import datasets, expression, homology, linalg, pairs,
 from crossweave.plans import domain
 from crossweave.plans.catalogue import query
 from crossweave.plans.domain import table, with_tables
+from crossweave.sources import checkpoint, hits, store
 
 #: Hits count at this e-value in the queries.
 EVALUE = 0.05
@@ -260,3 +261,49 @@ def row_normalize(spark: SparkSession, d: str) -> DataFrame:
     m = matrix(spark, d).withColumns({"by_max": F.col("v"), "by_row": F.col("v"), "by_column": F.col("v")})
     m = linalg.by_row_sum(linalg.by_row_sum(linalg.by_row_max(m, "i", value="by_max"), "i", value="by_row"), "j", value="by_column")
     return m.select("i", "j", *[r(c).alias(c) for c in ("by_max", "by_row", "by_column")])
+
+
+@query(with_tables("hits", "SELECT g1, g2, s1, s2, round(weight, 6) AS weight FROM g", best=BEST, g=GRAPH))
+def hits_from_files(spark: SparkSession, d: str) -> DataFrame:
+    """The graph of reciprocal hits, by way of tab-separated files without prefixes, read by pair of datasets."""
+    rows = domain.hits(spark, d)
+    bare = lambda c: F.split_part(c, F.lit("_"), F.lit(2))
+    columns = [bare("query").alias("query"), bare("target").alias("target"), F.lit(99.0).alias("pident"), *[F.lit(1).alias(c) for c in "abcdefg"], "evalue", "bitscore"]
+    folder = f"{checkpoint.folder(spark)}/maps"
+    for direction, name in ((0, "pa_to_su"), (1, "su_to_pa")):
+        rows.filter(F.col("direction") == direction).select(*columns).write.option("sep", "\t").csv(f"{folder}/supa/{name}.txt")
+    return hits.read_homology(spark, folder, ["pa", "su"], EVALUE).withColumn("weight", r("weight"))
+
+
+@query("SELECT r_regionkey, r_name, n_nationkey, n_name FROM region JOIN nation ON r_regionkey = n_regionkey")
+def session_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Tables written as a session and read back by its manifest."""
+    folder = f"{checkpoint.folder(spark)}/session"
+    store.save(spark, {"region": table(spark, d, "region"), "nation": table(spark, d, "nation")}, folder)
+    back = store.load(spark, folder)
+    return back["region"].join(back["nation"], F.col("r_regionkey") == F.col("n_regionkey")).select("r_regionkey", "r_name", "n_nationkey", "n_name")
+
+
+@query(with_tables("hits", "SELECT g1, g2, s1, s2, round(weight, 6) AS weight FROM g WHERE g1 IN (SELECT gene FROM k) AND g2 IN (SELECT gene FROM k)", best=BEST, g=GRAPH, k="SELECT 'pa_' || (p_partkey % 200) AS gene FROM part WHERE p_size > 45 UNION SELECT 'su_' || s_suppkey FROM supplier WHERE s_acctbal > 0"))
+def genes_present(spark: SparkSession, d: str) -> DataFrame:
+    parts = table(spark, d, "part").filter("p_size > 45").select(F.concat(F.lit("pa_"), (F.col("p_partkey") % 200).cast("string")).alias("gene"))
+    suppliers = table(spark, d, "supplier").filter("s_acctbal > 0").select(F.concat(F.lit("su_"), F.col("s_suppkey").cast("string")).alias("gene"))
+    return homology.present(graph(spark, d), parts.union(suppliers)).withColumn("weight", r("weight"))
+
+
+@query("SELECT DISTINCT a, b FROM (SELECT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_quantity > 45 UNION ALL SELECT l_suppkey, l_partkey FROM lineitem WHERE l_quantity > 45)")
+def symmetric_closure(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.both_ways(table(spark, d, "lineitem").filter("l_quantity > 45"), "l_partkey", "l_suppkey")
+
+
+@query(with_tables("hits", "SELECT query, target, max(bitscore) AS bitscore FROM hits WHERE evalue <= 0.05 AND target NOT IN ('NA', 'null', 'su_7') GROUP BY ALL"))
+def hits_best(spark: SparkSession, d: str) -> DataFrame:
+    """Names that look like missing values are dropped on request; here su_7 is called NA."""
+    rows = domain.hits(spark, d).withColumn("target", F.when(F.col("target") == "su_7", F.lit("NA")).otherwise(F.col("target")))
+    return homology.best_hits(homology.usable_hits(rows, EVALUE, drop_missing_tokens=True))
+
+
+@query(None)
+def pca_loadings(spark: SparkSession, d: str) -> DataFrame:
+    """Principal axes of each segment's scaled features; their signs are free, so there is no SQL to compare with."""
+    return expression.components(domain.expr(spark, d), domain.customers(spark, d), domain.genes(spark, d), 3)

@@ -9,6 +9,7 @@ from crossweave.operators import knn, linalg, refine, scores, stitch
 from crossweave.plans import domain
 from crossweave.plans.catalogue import query
 from crossweave.plans.domain import latent_sql, table, with_tables
+from crossweave.plans.session import Mapping
 
 K = 10
 #: Neighbours inside a dataset, for the graphs that stitching starts from.
@@ -246,3 +247,42 @@ def refined_homology(spark: SparkSession, d: str) -> DataFrame:
 def xi_correlation(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").groupBy("l_suppkey", F.col("l_orderkey").alias("id")).agg(F.sum("l_quantity").alias("x"), F.round(F.sum(F.col("l_discount") * 100)).cast("long").alias("y"))
     return refine.xi(rows, ["l_suppkey"], "x", "y", ["id"]).withColumn("xi", r("xi"))
+
+
+REFINED_BOTH = "SELECT g1, g2, sqrt(greatest(corr, 0) * sqrt(a.weight * b.weight)) * h.weight AS w FROM co JOIN genes a ON a.gene = g1 JOIN genes b ON b.gene = g2 JOIN homology h USING (g1, g2) WHERE corr >= 0.05 AND a.weight > 0 AND b.weight > 0"
+
+
+@query(with_tables("expr homology", "SELECT g1, g2, split_part(g1,'_',1) AS s1, split_part(g2,'_',1) AS s2, round(w, 6) AS weight FROM (SELECT g1, g2, w FROM both_w UNION ALL SELECT g2, g1, w FROM both_w)", **CORRELATED, both_w=REFINED_BOTH))
+def refined_homology_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """Correlations joined with the features' weights and the original scores."""
+    rows = refine.refined(domain.shared_homology(spark, d), customer_graph(spark, d), domain.expr(spark, d), domain.customers(spark, d), domain.genes(spark, d), 0.05, by_weight=True, by_score=True)
+    return rows.withColumn("weight", r("weight"))
+
+
+XI = {
+    **AVERAGED,
+    "pr": "SELECT g1, g2, s1, s2 FROM homology WHERE g1 < g2 AND weight = 1",
+    "dense": "SELECT g1, g2, c.cell, round(coalesce(a.value, 0), 6) AS x, round(coalesce(b.value, 0), 6) AS y FROM pr JOIN cells c ON c.species IN (s1, s2) LEFT JOIN avgd a ON a.cell = c.cell AND a.gene = g1 LEFT JOIN avgd b ON b.cell = c.cell AND b.gene = g2",
+    "rk": "SELECT *, count(*) OVER (PARTITION BY g1, g2 ORDER BY y) AS r, count(*) OVER (PARTITION BY g1, g2 ORDER BY y DESC) AS l, count(*) OVER (PARTITION BY g1, g2) AS n FROM dense",
+}
+
+
+@query(with_tables("expr homology", """SELECT g1, g2, round(CASE WHEN d > 0 THEN 1 - n * coalesce(a, 0) / d ELSE 0 END, 6) AS corr FROM (
+ SELECT g1, g2, sum(step) AS a, 2 * sum(l * (n - l)) AS d, max(n) AS n FROM (SELECT *, abs(r - lag(r) OVER (PARTITION BY g1, g2 ORDER BY x, cell)) AS step FROM rk) GROUP BY g1, g2)""", **XI))
+def xi_pair_correlation(spark: SparkSession, d: str) -> DataFrame:
+    """Values are rounded, so that equal ones tie in any order of summation."""
+    pairs = domain.shared_homology(spark, d).filter("g1 < g2 AND weight = 1")
+    return refine.xi_pairs(pairs, averaged(spark, d).withColumn("value", r("value")), domain.customers(spark, d)).select("g1", "g2", r("corr").alias("corr"))
+
+
+@query(None)
+def mapping_session(spark: SparkSession, d: str) -> DataFrame:
+    """The whole loop, two passes with a refinement between: scores of the stitched graph. Tests hold it against dense arrays."""
+    expr, cells, genes = domain.expr(spark, d), domain.customers(spark, d), domain.genes(spark, d)
+    loadings = domain.loadings(spark, d).withColumn("species", F.split_part("gene", F.lit("_"), F.lit(1)))
+    cells = cells.withColumn("cell", F.col("cell").cast("string"))
+    home = cells.select(F.col("cell").alias("src"), F.col("species").alias("a")), cells.select(F.col("cell").alias("dst"), F.col("species").alias("b"))
+    own = customer_graph(spark, d).select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "weight")
+    own = own.join(home[0], "src").join(home[1], "dst").filter("a = b").select("src", "dst", "weight")
+    m = Mapping(expr.withColumn("cell", F.col("cell").cast("string")), cells, genes, own, loadings, edges=domain.shared_homology(spark, d))
+    return m.run(iterations=2, hops=2, k=K).mapping_scores().withColumn("score", r("score"))

@@ -90,19 +90,25 @@ class Mapping:
         cocluster: set[str] | frozenset[str] = frozenset(),
         pairwise: bool = True,
         by_weight: bool = False,
+        near: DataFrame | None = None,
+        latent: DataFrame | None = None,
     ) -> "Mapping":
-        """Translate, project, find neighbours, stitch; between passes, re-weight homology from its first form."""
+        """Translate, project, find neighbours, stitch; between passes, re-weight homology from its first form.
+
+        With ``near(src, dst, dst_species, weight)`` and ``latent(cell, species, vec)`` the projection of every pass is taken from there."""
         if k < 1 or iterations < 1:
             raise ValueError("k and iterations are 1 or more")
         unknown = set(cocluster) - set(self.species)
         if unknown:
             raise SpeciesNotFoundError(", ".join(sorted(unknown)))
         self.k = k
-        near = self._neighbourhoods(hops, set(cocluster))
+        if (near is None) != (latent is None):
+            raise ValueError("near and latent come together")
+        around = self._neighbourhoods(hops, set(cocluster))
         for i in range(iterations):
-            self.latent = cut(self._joint())
-            self.knn = cut(knn.weights(knn.nearest(self.latent, k)))
-            sent = self._sent(near, set(cocluster))
+            self.latent = cut(self._joint()) if latent is None else latent
+            self.knn = cut(knn.weights(knn.nearest(self.latent, k))) if near is None else near
+            sent = self._sent(around, set(cocluster))
             similar = stitch.mutual(sent)
             if scale_edges_by_corr:
                 similar = stitch.rescaled(similar, self.latent)

@@ -3,13 +3,24 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _directory(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="crossweave-"))
+    return context.getCheckpointDir()
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder, for tables."""
+    return f"{_directory(spark)}/crossweave-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Compute once and go on from the shared folder of ``spark.checkpoint.dir``; a local one only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="crossweave-"))
+    _directory(df.sparkSession)
     return df.checkpoint(eager=True)

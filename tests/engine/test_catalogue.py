@@ -42,6 +42,10 @@ def test_query(spark, duck, name):
 
 def test_every_query_is_named(spark):
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES)
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"marker_pvalues"}
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == {"marker_pvalues", "mapping_session", "pca_loadings"}
     got = catalogue.QUERIES["marker_pvalues"](spark, FOLDER).collect()
     assert got and all(0 <= r["pval"] <= 1 and r["score"] >= 0 for r in got)
+    got = catalogue.QUERIES["mapping_session"](spark, FOLDER).collect()
+    assert got and all(0 <= r["score"] <= 1 for r in got)
+    axes = catalogue.QUERIES["pca_loadings"](spark, FOLDER).groupBy("species", "pc").agg({"value": "count"}).collect()
+    assert len(axes) == 15
