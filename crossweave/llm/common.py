@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Fixed value: ASCII white space, the separators of words in every contract here.
 WORD_SEPARATORS = " \t\n\x0b\x0c\r"
@@ -32,9 +33,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` by a function over the batches of a partition."""
-    return df.mapInArrow(function, schema)
+#: Rows of texts that a worker turns into Python strings at once.
+TEXT_ROWS = 500
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows (an empty one stays), without copies."""
+    for batch in batches:
+        for at in range(0, max(1, batch.num_rows), rows):
+            yield batch.slice(at, rows)
+
+
+def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, rows: int | None = None) -> DataFrame:
+    """``mapInArrow`` by a function over the batches of a partition, in parts of ``rows`` for functions over texts."""
+    return df.mapInArrow(function if rows is None else lambda batches: function(slices(batches, rows)), schema)
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:

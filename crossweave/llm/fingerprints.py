@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossweave.llm.common import arrow_map, partitions
+from crossweave.llm.common import TEXT_ROWS, arrow_map, partitions
 
 SHINGLE = 5
 HASH_BITS = 48
@@ -31,7 +31,7 @@ SCALE = 4
 #: Ranges of doc_id for each shuffle partition.
 RANGES = 4
 #: Word hashes held by a worker at once.
-CACHE = 400_000
+CACHE = 200_000
 _MULTIPLIERS = np.array([pow(0x9E3779B97F4A7C15, k + 1, 2**64) for k in range(SHINGLE)], dtype=np.uint64)
 
 
@@ -147,4 +147,4 @@ def compare(docs: DataFrame) -> DataFrame:
     rows = docs.withColumn("bucket", bucket).select("doc_id", "text", F.explode(F.concat(own, copies) if order else own).alias("at"))
     rows = rows.select(F.col("at.bucket").alias("bucket"), F.col("at.tail").alias("tail"), "doc_id", "text")
     dealt = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "tail", F.desc_nulls_last("doc_id"), "text")
-    return arrow_map(dealt, _measure, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, jaccard_edited double, jaccard_next double")
+    return arrow_map(dealt, _measure, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, jaccard_edited double, jaccard_next double", TEXT_ROWS)

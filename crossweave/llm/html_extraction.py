@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from crossweave.llm.common import arrow_map
+from crossweave.llm.common import TEXT_ROWS, arrow_map
 from crossweave.llm.html_pages import BAD, GOOD, pages
 
 TRAINING_PAGES = 2_000
@@ -317,4 +317,4 @@ def extract(table: DataFrame, crf: Crf | None = None) -> DataFrame:
             made = [main_text(x, own) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(made, pa.string()), pa.array(list(map(len, made)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return arrow_map(table.select("page_id", "url", "html"), run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return arrow_map(table.select("page_id", "url", "html"), run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long", TEXT_ROWS)

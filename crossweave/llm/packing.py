@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossweave.llm.bpe import WORD_PATTERN, byte_alphabet
-from crossweave.llm.common import arrow_map, texts
+from crossweave.llm.common import TEXT_ROWS, arrow_map, texts
 
 LENGTH = 1024
 #: Fixed value: the id that ends a document.
@@ -107,7 +107,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: i
             columns = [batch.column("doc_id").take(pa.array(made[:, 0])), pa.array(made[:, 1].astype(np.int32)), *(pa.array(made[:, k]) for k in (2, 3, 4))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long", TEXT_ROWS)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, open_bins: int = OPEN_BINS, window: int = WINDOW) -> DataFrame:

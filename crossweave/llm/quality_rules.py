@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossweave.llm.common import arrow_map, cut, texts
+from crossweave.llm.common import TEXT_ROWS, arrow_map, cut, texts
 
 #: The symbols that are counted.
 SYMBOLS = b"#*$%&|<>"
@@ -82,7 +82,7 @@ def base_rules(docs: DataFrame) -> DataFrame:
     """doc_id, source and the base counts of every document."""
     slim = docs.select("doc_id", F.col("source").cast("string").alias("host"), "text")
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return arrow_map(slim, _count, f"doc_id {kind}, host string, {BASE}")
+    return arrow_map(slim, _count, f"doc_id {kind}, host string, {BASE}", TEXT_ROWS)
 
 
 def host_verdicts(base: DataFrame, reject_rate: float = REJECT_RATE) -> DataFrame:
@@ -119,7 +119,7 @@ def keep(docs: DataFrame, reject_rate: float = REJECT_RATE) -> DataFrame:
     few = hosts.count() <= BROADCAST_HOSTS
     on = docs["source"].cast("string").eqNullSafe(kept_hosts["__host"])
     good = docs.join(F.broadcast(kept_hosts) if few else kept_hosts, on, "left_semi")
-    return good.mapInArrow(_keep_passing, docs.schema)
+    return arrow_map(good, _keep_passing, docs.schema, TEXT_ROWS)
 
 
 def _keep_passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossweave.llm.common import arrow_map, cut, partitions, texts
+from crossweave.llm.common import TEXT_ROWS, arrow_map, cut, partitions, texts
 from crossweave.llm.components import roots
 
 SEED = 42
@@ -73,7 +73,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs.select("doc_id", "text"), _fingerprints, f"doc_id {kind}, fp long")
+    return arrow_map(docs.select("doc_id", "text"), _fingerprints, f"doc_id {kind}, fp long", TEXT_ROWS)
 
 
 def trie_pairs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossweave.llm.common import arrow_map, partitions, store
+from crossweave.llm.common import TEXT_ROWS, arrow_map, partitions, store
 
 MATCH = 50
 GRAM = 20
@@ -279,7 +279,7 @@ def _runs(docs: DataFrame) -> DataFrame:
                 held.append(rows)
         yield from out()
 
-    blobs = arrow_map(_keyed(docs), read, "bucket int, kind int, blob binary")
+    blobs = arrow_map(_keyed(docs), read, "bucket int, kind int, blob binary", TEXT_ROWS)
     dealt = blobs.repartition(n, "bucket").sortWithinPartitions("bucket")
     return arrow_map(dealt, meet, "key long, first long, count int, grp long, hot boolean")
 
@@ -359,7 +359,7 @@ def spans(docs: DataFrame) -> DataFrame:
     runs = store(_runs(docs))
     settled = runs.filter("grp IS NULL").select("key", "first", "count")
     open_ = runs.filter("grp IS NOT NULL").groupBy("key").agg(F.collect_list(F.struct("grp", "first", "count", "hot")).alias("runs"))
-    cut_out = arrow_map(_keyed(docs).join(open_, "key").select("key", "text", "runs"), _contexts, "grp long, key long, first long, context binary")
+    cut_out = arrow_map(_keyed(docs).join(open_, "key").select("key", "text", "runs"), _contexts, "grp long, key long, first long, context binary", TEXT_ROWS)
     met = store(cut_out)
     here = met.filter("grp IS NULL").select("key", "first", F.lit(1).alias("count"))
     dealt = met.filter("grp IS NOT NULL").repartition(n, "grp").sortWithinPartitions("grp")
@@ -395,7 +395,7 @@ def measure(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = _joined(docs.select("doc_id", "text")).withColumnRenamed("__runs", "runs")
-    return arrow_map(rows, _digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return arrow_map(rows, _digest, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string", TEXT_ROWS)
 
 
 def strip(docs: DataFrame) -> DataFrame:
@@ -418,4 +418,4 @@ def strip(docs: DataFrame) -> DataFrame:
                     columns.append(batch.column(name))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return _joined(docs).mapInArrow(run, docs.schema)
+    return arrow_map(_joined(docs), run, docs.schema, TEXT_ROWS)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossweave.llm.common import arrow_map, texts
+from crossweave.llm.common import TEXT_ROWS, arrow_map, texts
 
 BITS = 20
 MAX_POSITIVE = 6_000
@@ -39,7 +39,7 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 #: Words held by a worker at once.
-CACHE = 300_000
+CACHE = 150_000
 _U = np.uint64
 #: Odd multipliers, one for each place in a feature.
 _PLACES = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -158,13 +158,16 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer | float:
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample(labels)), "doc_id")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        examples, size = [], 0
+        held, ends, known = bytearray(), [0], []  # one block of memory, which goes back as a whole
         for batch in batches:
             for text, label in zip(texts(batch.column("text")), batch.column("label").to_pylist()):
                 found = np.unique(features(text))
-                size += len(found)
-                if size <= MAX_FEATURES:
-                    examples.append((found, label))
+                if ends[-1] + len(found) <= MAX_FEATURES:
+                    held += found.tobytes()
+                    ends.append(ends[-1] + len(found))
+                    known.append(label)
+        flat = np.frombuffer(held, np.int32)
+        examples = [(flat[a:b], y) for a, b, y in zip(ends, ends[1:], known)]
         if examples:
             model = fit(examples)
             at, weights = model.sparse()
@@ -173,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer | float:
             bias = model.bias() - math.log(max(seen, 1) / positive) + math.log(max(len(examples) - seen, 1) / negative)
             yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([bias, *weights.tolist()], pa.float64())], names=["at", "weight"])
 
-    rows = arrow_map(chosen.coalesce(1).sortWithinPartitions(F.xxhash64("doc_id"), "text", "label"), learn, "at int, weight double").collect()
+    rows = arrow_map(chosen.coalesce(1).sortWithinPartitions(F.xxhash64("doc_id"), "text", "label"), learn, "at int, weight double", TEXT_ROWS).collect()
     if not rows:
         return positive / (positive + negative)
     weights = {r["at"]: r["weight"] for r in rows}
@@ -205,7 +208,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             columns = [ids, pa.array([held_out(x) for x in ids.to_pylist()], pa.bool_()), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
 
-    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, held_out boolean, score double, predicted int", TEXT_ROWS)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -217,4 +220,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array([scorer(x) < THRESHOLD for x in texts(batch.column("text"))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema, TEXT_ROWS)
