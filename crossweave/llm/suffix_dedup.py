@@ -40,8 +40,8 @@ MATCH = 50
 GRAM = 20
 #: Bytes of text in a block; one document may be longer.
 BLOCK_BYTES = 20 << 20
-#: Windows of a document that are hashed at once (at most 2^20: a position takes 20 bits beside its hash).
-CHUNK = 1 << 18
+#: Windows that are hashed at once (at most 2^20: a position takes 20 bits beside its hash).
+CHUNK = 1 << 16
 #: Different runs of one anchor beyond which its windows are dealt out one by one.
 MAX_CONTEXTS = 20_000
 #: Hash buckets for each shuffle partition.
@@ -68,17 +68,21 @@ def _words(raw: np.ndarray) -> np.ndarray:
 
 def _span_hashes(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Hashes of the bytes [start, start + size), for sizes of eight or more."""
-    out = sizes.astype(np.uint64)
+    out = sizes.astype(np.uint64) * _U(0x9E3779B97F4A7C15)
     last = sizes - 8
     for at in range(0, int(sizes.max(initial=0)), 8):
-        step = words[starts + np.minimum(at, last)]
-        out = np.where(at < sizes, _mix(out + _U(0x9E3779B97F4A7C15)) ^ _mix(step), out)
+        # Words beyond the end are the last one again, which tells nothing new.
+        out = (out ^ words[starts + np.minimum(at, last)]) * _U(0xD6E8FEB86659FD93)
+        out ^= out >> _U(32)
     return _mix(out)
 
 
-def anchors(raw: np.ndarray, match: int = MATCH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor hash, run hash, first window, number of windows) of a text's anchors, in order."""
+def anchors(raw: np.ndarray, ends: np.ndarray, match: int = MATCH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(text, anchor hash, run hash, first window, number of windows) of the anchors of texts that lie end to end.
+
+    ``ends``: where each text ends in ``raw``; no window crosses an end."""
     n = len(raw) - match + 1  # windows
+    begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
     found = []
     width = match - gram + 1
     for at in range(0, max(0, n), CHUNK):
@@ -88,7 +92,9 @@ def anchors(raw: np.ndarray, match: int = MATCH, gram: int = GRAM) -> tuple[np.n
         hashes = words[:grams].copy()
         for k in range(8, gram, 8):
             step = min(k, gram - 8)
-            hashes = _mix(hashes) + words[step : step + grams]
+            hashes ^= hashes >> _U(32)
+            hashes *= _U(0xD6E8FEB86659FD93)
+            hashes += words[step : step + grams]
         hashes = _mix(hashes)
         least = (hashes & ~_U(2**20 - 1)) | np.arange(grams, dtype=np.uint64)  # of equal hashes the leftmost
         span = 1
@@ -98,11 +104,17 @@ def anchors(raw: np.ndarray, match: int = MATCH, gram: int = GRAM) -> tuple[np.n
         if span < width:
             least = np.minimum(least[: len(least) - (width - span)], least[width - span :])
         chosen = (least & _U(2**20 - 1)).astype(np.int64)
-        first = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
-        count = np.diff(np.append(first, windows))
-        found.append((hashes[chosen[first]], _span_hashes(words, first, count + match - 1), first + at, count))
+        fresh = np.concatenate(([True], chosen[1:] != chosen[:-1]))
+        inside = begins[np.searchsorted(begins, at) : np.searchsorted(begins, at + windows)]
+        fresh[inside - at] = True
+        first = np.flatnonzero(fresh)
+        text = np.searchsorted(ends, first + at, side="right")
+        count = np.minimum(np.append(first[1:], windows), ends[text] - match + 1 - at) - first
+        some = count > 0
+        first, count, text = first[some], count[some], text[some]
+        found.append((text, hashes[chosen[first]], _span_hashes(words, first, count + match - 1), first + at - begins[text], count))
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.zeros(0, np.uint64 if k in (1, 2) else np.int64) for k in range(5))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -150,8 +162,16 @@ def repeated_windows(groups: np.ndarray, owners: np.ndarray, contexts: list[byte
     firsts = np.cumsum(count) - count
     start = offsets[of] + np.arange(len(of)) - firsts[of]
     steps = [*range(0, match - 8, 8), match - 8]
-    columns = [words[start + k] for k in steps]
-    owner, group = owners[of], groups[of]
+    # A window whose hash is alone in its group matches nothing; only the others are sorted.
+    mixed = groups.view(np.uint64)[of]
+    for k in steps:
+        mixed = (mixed ^ words[start + k]) * _U(0xD6E8FEB86659FD93)
+        mixed ^= mixed >> _U(32)
+    ranked = np.sort(mixed)
+    twice = ranked[1:][ranked[1:] == ranked[:-1]]
+    some = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, mixed), len(twice) - 1)] == mixed) if len(twice) else np.zeros(0, np.int64)
+    columns = [words[start[some] + k] for k in steps]
+    owner, group = owners[of[some]], groups[of[some]]
     order = np.lexsort((owner, *columns[::-1], group))
     same = group[order][1:] == group[order][:-1]
     shared = np.zeros(len(order), np.int64)
@@ -160,8 +180,8 @@ def repeated_windows(groups: np.ndarray, owners: np.ndarray, contexts: list[byte
         same &= column[1:] == column[:-1]
         shared[1:][same] = k + 8
     far = longest_previous(owner[order], shared, match)
-    hit = np.zeros(len(order), bool)
-    hit[order] = far >= match
+    hit = np.zeros(len(of), bool)
+    hit[some[order]] = far >= match
     return np.split(hit, firsts[1:])
 
 
@@ -185,12 +205,12 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
 
 def _block(docs: list[tuple[int, bytes]], buckets: int) -> Iterator[tuple[int, int, bytes]]:
     """(bucket, kind, blob) of a block; kind 0: anchors to compare, kind 1: runs that are settled."""
-    docs.sort(key=lambda d: d[0])
-    parts = [(key, *anchors(np.frombuffer(raw, np.uint8))) for key, raw in docs if len(raw) >= MATCH]
-    if not parts:
+    docs = sorted((d for d in docs if len(d[1]) >= MATCH), key=lambda d: d[0])
+    if not docs:
         return
-    key = np.repeat(np.array([p[0] for p in parts], np.int64), [len(p[1]) for p in parts])
-    h, c, first, count = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3, 4))
+    ends = np.cumsum([len(raw) for _, raw in docs])
+    text, h, c, first, count = anchors(np.frombuffer(b"".join(raw for _, raw in docs), np.uint8), ends)
+    key = np.array([k for k, _ in docs], np.int64)[text]
     c &= _U(2**48 - 1)
     both = h ^ _mix(c)
     order = np.argsort(both, kind="stable")  # keys rise within equal runs
