@@ -43,7 +43,7 @@ BLOCK_BYTES = 20 << 20
 #: Windows that are hashed at once (at most 2^20: a position takes 20 bits beside its hash).
 CHUNK = 1 << 16
 #: Different runs of one anchor beyond which its windows are dealt out one by one.
-MAX_CONTEXTS = 20_000
+MAX_CONTEXTS = 4_000
 #: Hash buckets for each shuffle partition.
 BUCKETS = 8
 NO_ID = 2**63 - 1
