@@ -1,9 +1,10 @@
 """Threshold-scaled document fingerprints.
 
-A sketch keeps every five-word shingle hash below a fixed fraction of the hash range, and the least hash in any
-case, so that no text with words has an empty sketch. Sketches of parts merge to that of the whole by union
-(then drop hashes over the threshold except the least). Likeness is containment: the share of the smaller sketch
-that the other one has, which stays meaningful between very unequal documents.
+A sketch keeps every five-word shingle hash below a fixed fraction of the hash range, and the ``LEAST`` smallest
+hashes in any case, so that short texts, of which the fraction would keep next to nothing, are sketched whole.
+Sketches of parts merge to that of the whole by union (then drop hashes over the threshold except the smallest).
+Likeness is containment: the share of the smaller sketch that the other one has, which stays meaningful between
+very unequal documents. It is taken below the hash up to which both sketches are complete.
 
 Defined results: texts with fewer than five words have one shingle, all their words; texts without words have an
 empty sketch, which is like another empty one (1.0) and unlike any other (0.0); null texts are empty; rows with
@@ -14,12 +15,13 @@ the next document is the row itself.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crossweave.llm.common import TEXT_ROWS, arrow_map, partitions
@@ -28,6 +30,8 @@ SHINGLE = 5
 HASH_BITS = 48
 #: One of so many hashes is kept.
 SCALE = 4
+#: So many of the smallest hashes are kept in any case.
+LEAST = 16
 #: Ranges of doc_id for each shuffle partition.
 RANGES = 4
 #: Word hashes held by a worker at once.
@@ -61,10 +65,15 @@ def shingle_hashes(text: str) -> np.ndarray:
 
 
 def sketch(text: str, scale: int = SCALE) -> np.ndarray:
-    """Sorted distinct hashes below 1/scale of the range, and the least one."""
+    """Sorted distinct hashes below 1/scale of the range, and the least ones."""
     hashes = shingle_hashes(text)
-    kept = hashes[hashes < np.uint64(2**HASH_BITS // scale)]
-    return np.unique(kept) if len(kept) else hashes.min(initial=np.uint64(2**64 - 1), keepdims=True)[: len(hashes)]
+    kept = np.unique(hashes[hashes < np.uint64(2**HASH_BITS // scale)])
+    return kept if len(kept) >= LEAST else np.unique(hashes)[:LEAST]
+
+
+def complete_to(values: np.ndarray, scale: int = SCALE) -> int:
+    """The hash up to which a sketch has all hashes of its text."""
+    return max(2**HASH_BITS // scale - 1, int(values[-1])) if len(values) >= LEAST else 2**HASH_BITS
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
@@ -72,8 +81,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     if not len(a) or not len(b):
         both = 1.0 if len(a) == len(b) else 0.0
         return both, both
-    common = len(np.intersect1d(a, b, assume_unique=True))
-    return common / min(len(a), len(b)), common / (len(a) + len(b) - common)
+    limit = np.uint64(min(complete_to(a), complete_to(b)))
+    x, y = a[: np.searchsorted(a, limit, side="right")], b[: np.searchsorted(b, limit, side="right")]
+    if not len(x) or not len(y):  # a few hashes, all above the limit
+        x, y = a, b
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / min(len(x), len(y)), common / (len(x) + len(y) - common)
 
 
 def render(values: np.ndarray) -> str:
@@ -123,6 +136,23 @@ def _batch(rows: list[tuple], kind: pa.DataType, kinds: list[pa.DataType]) -> pa
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [kind, *kinds])], names=_NAMES)
 
 
+def _range_of(value: Column, bounds: list[float]) -> Column:
+    """How many of the sorted bounds are above a value; nulls have a range of their own, after all.
+
+    Bounds are looked up in two steps (which group of them, then which in the group), so that a row is compared with
+    some square root of them."""
+    width = max(1, math.isqrt(len(bounds)))
+    above = sorted(bounds, reverse=True)
+    groups = [above[i : i + width] for i in range(0, len(above), width)]
+    if not groups:
+        return F.when(value.isNull(), F.lit(1)).otherwise(F.lit(0))
+    ends = F.array(*[F.lit(float(g[-1])) for g in groups])
+    fine = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in groups])
+    full = F.size(F.filter(ends, lambda x: value < x))
+    rest = F.coalesce(F.size(F.filter(F.get(fine, full), lambda x: value < x)), F.lit(0))
+    return F.when(value.isNull(), F.lit(len(bounds) + 1)).otherwise(full * width + F.when(full < len(groups), rest).otherwise(F.lit(len(bounds) - full * width))).cast("int")
+
+
 def compare(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness.
 
@@ -135,16 +165,16 @@ def compare(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     n = partitions(spark)
     bounds = sorted(set(docs.approxQuantile("doc_id", [k / (RANGES * n) for k in range(1, RANGES * n)], 1 / (16 * RANGES * n))))
-    # Descending ids: range 0 has the largest; null ids come last.
-    limits = F.array(*[F.lit(x) for x in bounds]) if bounds else F.array().cast("array<double>")
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(limits, lambda x: F.col("doc_id") < x)))
+    bucket = _range_of(F.col("doc_id"), bounds)
     heads = {r["b"]: r["head"] for r in docs.groupBy(bucket.alias("b")).agg(F.max("doc_id").alias("head")).collect()}
     order = sorted(heads)
     before = {b: order[i - 1] for i, b in enumerate(order)}  # the first range is what follows the last
-    targets = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(heads[b]).cast(kind).alias("head"), F.lit(before[b]).alias("to")) for b in order])
-    copies = F.transform(F.filter(targets, lambda t: (t["b"] == F.col("bucket")) & t["head"].eqNullSafe(F.col("doc_id"))), lambda t: F.struct(t["to"].alias("bucket"), F.lit(True).alias("tail")))
+    every = range(len(bounds) + 2)
+    head = F.get(F.array(*[F.lit(heads.get(b)).cast(kind) for b in every]), F.col("bucket"))
+    to = F.get(F.array(*[F.lit(before.get(b)).cast("int") for b in every]), F.col("bucket"))
+    tail = F.when(head.eqNullSafe(F.col("doc_id")), F.array(F.struct(to.alias("bucket"), F.lit(True).alias("tail")))).otherwise(F.array().cast("array<struct<bucket:int,tail:boolean>>"))
     own = F.array(F.struct(F.col("bucket"), F.lit(False).alias("tail")))
-    rows = docs.withColumn("bucket", bucket).select("doc_id", "text", F.explode(F.concat(own, copies) if order else own).alias("at"))
+    rows = docs.withColumn("bucket", bucket).select("doc_id", "text", F.explode(F.concat(own, tail)).alias("at"))
     rows = rows.select(F.col("at.bucket").alias("bucket"), F.col("at.tail").alias("tail"), "doc_id", "text")
     dealt = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "tail", F.desc_nulls_last("doc_id"), "text")
     return arrow_map(dealt, _measure, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, jaccard_edited double, jaccard_next double", TEXT_ROWS)

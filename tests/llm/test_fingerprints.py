@@ -46,3 +46,24 @@ def test_sketches_merge():
     limit = np.uint64(2**fingerprints.HASH_BITS // fingerprints.SCALE)
     merged = np.unique(np.concatenate(parts))
     assert np.array_equal(merged[merged < limit], whole[whole < limit])
+    assert np.array_equal(merged[: fingerprints.LEAST], whole[: fingerprints.LEAST])
+
+
+def test_short_texts_are_compared_exactly():
+    words = [f"w{i}" for i in range(40)]
+    for n in (5, 8, 12, 19):
+        a, b = " ".join(words[:n]), " ".join(words[2 : n + 2])
+        x, y = ({tuple(t.split()[i : i + 5]) for i in range(n - 4)} for t in (a, b))
+        near, jaccard = fingerprints.likeness(fingerprints.sketch(a), fingerprints.sketch(b))
+        assert near == len(x & y) / len(x) and jaccard == len(x & y) / len(x | y)
+    long = " ".join(f"v{i}" for i in range(3000))
+    inside = " ".join(f"v{i}" for i in range(100, 400))
+    assert abs(fingerprints.likeness(fingerprints.sketch(inside), fingerprints.sketch(long))[0] - 1) < 1e-9
+
+
+def test_ranges(spark):
+    for n in (0, 1, 2, 3, 10, 57):
+        bounds = [float(7 * k) for k in range(n)]
+        rows = spark.range(-5, 420).select("id", fingerprints._range_of(F.col("id"), bounds).alias("b")).collect()
+        assert all(r["b"] == sum(r["id"] < x for x in bounds) for r in rows)
+        assert spark.sql("SELECT cast(null AS long) AS x").select(fingerprints._range_of(F.col("x"), bounds)).first()[0] == n + 1
