@@ -34,12 +34,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossweave.llm.common import TEXT_ROWS, arrow_map, partitions, store
+from crossweave.llm.common import TEXT_ROWS, arrow_map, give_back, partitions, store
 
 MATCH = 50
 GRAM = 20
 #: Bytes of text in a block; one document may be longer.
-BLOCK_BYTES = 20 << 20
+BLOCK_BYTES = 12 << 20
 #: Windows that are hashed at once (at most 2^20: a position takes 20 bits beside its hash).
 CHUNK = 1 << 16
 #: Different runs of one anchor beyond which its windows are dealt out one by one.
@@ -270,6 +270,7 @@ def _runs(docs: DataFrame) -> DataFrame:
                 if size >= BLOCK_BYTES:
                     yield from out()
                     held, size = [], 0
+                    give_back()
         yield from out()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
