@@ -15,11 +15,11 @@ def linked_cells(edges: DataFrame, cells: DataFrame) -> DataFrame:
     """c1, c2, cell, side: the cells of two clusters of different datasets (s1 < s2) with an edge between them, in either direction."""
     one = cells.select(F.col("cell").alias("src"), F.col("species").alias("s1"), F.col("cluster").alias("c1"))
     two = cells.select(F.col("cell").alias("dst"), F.col("species").alias("s2"), F.col("cluster").alias("c2"))
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    there, back = F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    both = edges.select(F.explode(F.array(there, back)).alias("e")).select("e.src", "e.dst")
     met = both.join(one, "src").join(two, "dst").filter("s1 < s2")
-    left = met.select("c1", "c2", F.col("src").alias("cell"), F.lit(1).alias("side"))
-    right = met.select("c1", "c2", F.col("dst").alias("cell"), F.lit(2).alias("side"))
-    return left.unionByName(right).distinct()
+    ends = F.array(F.struct(F.col("src").alias("cell"), F.lit(1).alias("side")), F.struct(F.col("dst").alias("cell"), F.lit(2).alias("side")))
+    return met.select("c1", "c2", F.explode(ends).alias("e")).select("c1", "c2", "e.cell", "e.side").distinct()
 
 
 def mapped_clusters(scores: DataFrame, cells: DataFrame, threshold: float, cluster: str | None = None) -> DataFrame:

@@ -49,7 +49,9 @@ def graph(forward: DataFrame, backward: DataFrame, reciprocal: bool = True) -> D
 
 def symmetric(edges: DataFrame) -> DataFrame:
     """Both directions of edges (g1, g2, weight), with dataset ids."""
-    two = edges.select("g1", "g2", "weight").unionByName(edges.select(F.col("g2").alias("g1"), F.col("g1").alias("g2"), "weight"))
+    # Turned around row by row: a union would compute the edges twice.
+    there, back = F.struct("g1", "g2"), F.struct(F.col("g2").alias("g1"), F.col("g1").alias("g2"))
+    two = edges.select(F.explode(F.array(there, back)).alias("e"), "weight").select("e.g1", "e.g2", "weight")
     return two.select("g1", "g2", species_of(F.col("g1")).alias("s1"), species_of(F.col("g2")).alias("s2"), "weight")
 
 

@@ -16,7 +16,8 @@ def canonical(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def both_ways(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Distinct ordered pairs of the symmetric closure."""
-    return pairs.select(F.col(a).alias("a"), F.col(b).alias("b")).union(pairs.select(F.col(b), F.col(a))).distinct()
+    there, back = F.struct(F.col(a).alias("a"), F.col(b).alias("b")), F.struct(F.col(b).alias("a"), F.col(a).alias("b"))
+    return pairs.select(F.explode(F.array(there, back)).alias("p")).select("p.a", "p.b").distinct()
 
 
 def to_arrays(table: DataFrame, key: str, *values: str) -> DataFrame:

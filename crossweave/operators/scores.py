@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from crossweave.sources.checkpoint import cut
+
 
 def directed(edges: DataFrame, cells: DataFrame, n_top: int = 0) -> DataFrame:
     """c1, c2, score: mean weight that the cells of c1 send into c2 of another dataset, over all cells of c1, or over the n_top best of each c2."""
@@ -22,7 +24,8 @@ def directed(edges: DataFrame, cells: DataFrame, n_top: int = 0) -> DataFrame:
 def mapping_scores(edges: DataFrame, cells: DataFrame, n_top: int = 0, k: float = 1.0) -> DataFrame:
     """c1, c2, score on the whole grid of clusters: the larger of the two directions over k, 0 without edges."""
     s = directed(edges, cells, n_top)
-    either = s.select("c1", "c2", "score").unionByName(s.select(F.col("c2").alias("c1"), F.col("c1").alias("c2"), "score")).groupBy("c1", "c2").agg(F.max("score").alias("score"))
+    there, back = F.struct("c1", "c2"), F.struct(F.col("c2").alias("c1"), F.col("c1").alias("c2"))
+    either = s.select(F.explode(F.array(there, back)).alias("p"), "score").groupBy("p.c1", "p.c2").agg(F.max("score").alias("score"))
     names = cells.select(F.col("cluster").alias("c1")).distinct()
     grid = names.join(F.broadcast(names.select(F.col("c1").alias("c2"))))  # cluster labels, not cells
     return grid.join(either, ["c1", "c2"], "left").select("c1", "c2", (F.coalesce("score", F.lit(0.0)) / k).alias("score"))
@@ -30,6 +33,7 @@ def mapping_scores(edges: DataFrame, cells: DataFrame, n_top: int = 0, k: float
 
 def ranked(scores: DataFrame) -> DataFrame:
     """anchor, anchor_rank, rank, cluster, score: anchors by their best score, partners by theirs; ties by name."""
+    scores = cut(scores)  # clusters by clusters, read twice
     best = scores.groupBy("c1").agg(F.max("score").alias("best"))
     anchors = best.select("c1", F.row_number().over(Window.orderBy(F.desc("best"), "c1")).alias("anchor_rank"))  # clusters only
     order = Window.partitionBy("c1").orderBy(F.desc("score"), "c2")

@@ -52,8 +52,13 @@ def coclustered(knn: DataFrame, cells: DataFrame) -> DataFrame:
 
 def mutual(sent: DataFrame) -> DataFrame:
     """sqrt(w[i,j] · w[j,i]) where both exist."""
-    back = sent.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("weight").alias("w"))
-    return sent.join(back, ["src", "dst"]).select("src", "dst", F.sqrt(F.col("weight") * F.col("w")).alias("weight"))
+    a, b = F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")
+    there = F.max(F.when(F.col("src") <= F.col("dst"), F.col("weight"))).alias("x")
+    back = F.max(F.when(F.col("src") >= F.col("dst"), F.col("weight"))).alias("y")
+    # One pass by unordered pair instead of a join of the table with itself.
+    met = sent.groupBy(a, b).agg(there, back).filter("x IS NOT NULL AND y IS NOT NULL")
+    ends = F.array_distinct(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
+    return met.select(F.explode(ends).alias("e"), F.sqrt(F.col("x") * F.col("y")).alias("weight")).select("e.src", "e.dst", "weight")
 
 
 def _pearson(x, y):
