@@ -31,7 +31,7 @@ from crossweave.llm.common import TEXT_ROWS, arrow_map, texts
 #: Fixed value: the word pattern of the byte-level pre-tokenizer.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of each of a worker's tables of encoded words; a full table is emptied.
-CACHE = 250_000
+CACHE = 400_000
 #: Words longer than this (in code points) are encoded each time.
 CACHED_LENGTH = 64
 
@@ -80,7 +80,7 @@ class BytePairEncoder:
         self.rank: dict[int, int] = {}  # in what order a token is made
         self.merged: dict[tuple[int, int], int] = {}
         self.prefix: dict[int, int] = {}
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}  # by left << 20 | right
         for rank, pair in enumerate(d["model"]["merges"]):
             left, right = (bytes(alphabet[c] for c in x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
             made = ids[left + right]
@@ -89,12 +89,12 @@ class BytePairEncoder:
                 self.parts[made], self.rank[made] = (ids[left], ids[right]), rank
         self.automaton = ahocorasick.Automaton()
         for token, id_ in ids.items():
-            self.automaton.add_word(token.decode("latin-1"), (id_, len(token)))
+            self.automaton.add_word(token.decode("latin-1"), id_)
         self.automaton.make_automaton()
         self.words = regex.compile(WORD_PATTERN)
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        lengths = np.array([len(x) for x in self.raw], np.int64)
-        self.offsets = np.concatenate(([0], np.cumsum(lengths)))
+        self.lengths = [len(x) for x in self.raw]
+        self.offsets = np.concatenate(([0], np.cumsum(self.lengths)))
         self.bytes = np.frombuffer(b"".join(self.raw), np.uint8)
         self.decimal = [b"%d" % i for i in range(len(self.raw))]
         self.known: dict[str, bytes] = {}
@@ -111,7 +111,8 @@ class BytePairEncoder:
             token = self.parts[token][side]
 
     def _fits(self, left: int, right: int) -> bool:
-        known = self.compatible.get((left, right))
+        key = left << 20 | right
+        known = self.compatible.get(key)
         if known is None:
             known = True
             for a, a_until in self._edge(left, 1):
@@ -122,7 +123,7 @@ class BytePairEncoder:
                         known = False
             if len(self.compatible) >= 4 * CACHE:
                 self.compatible.clear()
-            self.compatible[left, right] = known
+            self.compatible[key] = known
         return known
 
     def _shorter(self, token: int) -> int:
@@ -139,26 +140,33 @@ class BytePairEncoder:
         whole = self.ids.get(word)
         if whole is not None:
             return [whole]
-        longest = [-1] * len(word)
-        for end, (id_, length) in self.automaton.iter(word.decode("latin-1")):
-            longest[end - length + 1] = id_  # ends go up, so the last one kept is the longest
-        raw, fits, shorter = self.raw, self._fits, self._shorter
-        dead = bytearray(len(word) + 1)  # positions from which the rest can't be encoded
+        n, lengths, compatible = len(word), self.lengths, self.compatible
+        longest = [-1] * n
+        for end, id_ in self.automaton.iter(word.decode("latin-1")):
+            longest[end - lengths[id_] + 1] = id_  # ends go up, so the last one kept is the longest
+        dead = bytearray(n + 1)  # positions from which the rest can't be encoded
+        token = longest[0]
         out: list[int] = []
-        at, token = 0, longest[0]
-        while at < len(word):
-            end = at + len(raw[token])
-            if not dead[end] and (not out or fits(out[-1], token)):
-                out.append(token)
-                at = end
-                token = longest[at] if at < len(word) else -1
-                continue
-            token = shorter(token)
+        at, last = 0, -1
+        while at < n:
+            end = at + lengths[token]
+            if not dead[end]:
+                fits = last < 0 or compatible.get(last << 20 | token)
+                if fits is None:
+                    fits = self._fits(last, token)
+                if fits:
+                    out.append(token)
+                    last, at = token, end
+                    if at < n:
+                        token = longest[at]
+                    continue
+            token = self._shorter(token)
             while token < 0:  # nothing fits here: one token back
                 dead[at] = 1
                 token = out.pop()
-                at -= len(raw[token])
-                token = shorter(token)
+                last = out[-1] if out else -1
+                at -= lengths[token]
+                token = self._shorter(token)
         return out
 
     def _encode_part(self, part: str) -> bytes:
