@@ -157,14 +157,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer | float:
     # The sample has a fixed bound of some thousand ids, so it may be broadcast and its model come back.
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample(labels)), "doc_id")
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(features(x)).tobytes() for x in texts(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("label"), pa.array(found, pa.binary())], names=["place", "label", "found"])
+
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, ends, known = bytearray(), [0], []  # one block of memory, which goes back as a whole
         for batch in batches:
-            for text, label in zip(texts(batch.column("text")), batch.column("label").to_pylist()):
-                found = np.unique(features(text))
-                if ends[-1] + len(found) <= MAX_FEATURES:
-                    held += found.tobytes()
-                    ends.append(ends[-1] + len(found))
+            for found, label in zip(batch.column("found").to_pylist(), batch.column("label").to_pylist()):
+                if ends[-1] + len(found) // 4 <= MAX_FEATURES:
+                    held += found
+                    ends.append(ends[-1] + len(found) // 4)
                     known.append(label)
         flat = np.frombuffer(held, np.int32)
         examples = [(flat[a:b], y) for a, b, y in zip(ends, ends[1:], known)]
@@ -176,7 +180,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer | float:
             bias = model.bias() - math.log(max(seen, 1) / positive) + math.log(max(len(examples) - seen, 1) / negative)
             yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([bias, *weights.tolist()], pa.float64())], names=["at", "weight"])
 
-    rows = arrow_map(chosen.coalesce(1).sortWithinPartitions(F.xxhash64("doc_id"), "text", "label"), learn, "at int, weight double", TEXT_ROWS).collect()
+    # Texts are read where they are; the features of the bounded sample meet in one task.
+    made = arrow_map(chosen.select(F.xxhash64("doc_id").alias("place"), "label", "text"), read, "place long, label int, found binary", TEXT_ROWS)
+    rows = arrow_map(made.repartition(1).sortWithinPartitions("place", "label", "found"), learn, "at int, weight double", TEXT_ROWS).collect()
     if not rows:
         return positive / (positive + negative)
     weights = {r["at"]: r["weight"] for r in rows}
