@@ -375,7 +375,7 @@ def _union(lists: list) -> list[tuple[int, int]]:
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """key, settled, matched: for each document, its settled runs of windows (two lists, either may be null)."""
+    """key, runs: for each document, the runs of windows that a document with a smaller key has too."""
     n = partitions(docs.sparkSession)
     runs = store(_runs(docs))
     settled = runs.filter("grp IS NULL").select("key", "first", "count")

@@ -1,7 +1,6 @@
 import re
 
 import duckdb
-import pytest
 
 from crossweave.llm import oracles, quotations
 
