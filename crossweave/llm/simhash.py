@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crossweave.llm.common import TEXT_ROWS, arrow_map, cut, partitions, texts
@@ -32,8 +32,6 @@ SHINGLE = 3
 BUDGET = 3
 BANDS = 4
 BAND_BITS = 64 // BANDS
-#: doc_ids are below this.
-NO_IDS = 2**62
 #: Fingerprints in a task's trie, unless the band's value has fewer.
 MAX_GROUP = 8192
 #: Node pairs with at most so many pairs of leaves are compared leaf by leaf.
@@ -67,13 +65,14 @@ def fingerprint(text: str) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.array([fingerprint(x) for x in texts(batch.column("text"))], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+        others = [n for n in batch.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in others), pa.array(prints.view(np.int64))], names=[*others, "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs.select("doc_id", "text"), _fingerprints, f"doc_id {kind}, fp long", TEXT_ROWS)
+    """``docs`` with fp (the 64 bits as a signed long) in place of text."""
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    return arrow_map(docs, _fingerprints, f"{kept}, fp long", TEXT_ROWS)
 
 
 def trie_pairs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -181,23 +180,30 @@ def links(prints: DataFrame) -> DataFrame:
     return arrow_map(dealt, _link_tries, "u long, v long")
 
 
+def _rooted(prints: DataFrame, first: Column) -> tuple[DataFrame, DataFrame]:
+    """fp, root of each distinct fingerprint, and root, first: the least ``first`` of each component.
+
+    Fingerprints are their own nodes, so rows that share a doc_id, or have none, are linked by their texts alone."""
+    distinct = prints.groupBy("fp").agg(F.min(first).alias("first"))
+    tree = roots(links(distinct.select("fp", F.col("fp").alias("node")))).select(F.col("node").alias("fp"), "root")
+    rooted = cut(distinct.join(tree, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
+    # Read back, tables meet in a plain join, whose hot keys adaptive execution can split.
+    return rooted.select("fp", "root"), cut(rooted.groupBy("root").agg(F.min("first").alias("first")))
+
+
 def components(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id of every document.
-
-    A fingerprint's node is its smallest doc_id, so the smallest node reachable is the component. Fingerprints
-    of rows without any doc_id have nodes from ``NO_IDS`` on: those that share one differ in two bits at most."""
-    prints = cut(fingerprints(docs))
-    node = F.coalesce(F.min("doc_id").cast("long"), F.lit(NO_IDS) + F.shiftrightunsigned("fp", 2))
-    distinct = prints.groupBy("fp").agg(node.alias("node"))
-    tree = roots(links(distinct)).select("node", "root")
-    component = F.coalesce("root", "node")
-    kind = docs.schema["doc_id"].dataType
-    # Read back, the labels meet the documents in a plain join, whose hot fingerprints adaptive execution can split.
-    labels = cut(distinct.join(tree, "node", "left").select("fp", F.when(component < NO_IDS, component).cast(kind).alias("component_id")))
+    """doc_id, fp, component_id (the smallest doc_id of the component) of every document."""
+    prints = cut(fingerprints(docs.select("doc_id", "text")))
+    rooted, least = _rooted(prints, F.col("doc_id"))
+    labels = cut(rooted.join(least, "root").select("fp", F.col("first").alias("component_id")))
     return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row for each component: that of its smallest doc_id. All columns stay."""
-    kept = components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one row for each component: that of its smallest doc_id (null is the largest) and, among those, its least text hash. All columns stay."""
+    key = F.sha2(F.coalesce("text", F.lit("")), 256)
+    prints = cut(fingerprints(docs.select("doc_id", "text", key.alias("key"))))
+    _, least = _rooted(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    kept = least.select(F.col("first.doc_id").alias("__kept"), F.col("first.key").alias("__kept_key"))
+    rows = docs.withColumn("__key", key)
+    return rows.join(kept, rows["doc_id"].eqNullSafe(kept["__kept"]) & (rows["__key"] == kept["__kept_key"]), "left_semi").dropDuplicates(["doc_id", "__key"]).drop("__key")

@@ -106,3 +106,13 @@ def test_rows_without_ids(spark):
     rows = [(None, text), (None, text), (None, "quite another text, " * 9), (5, near), (9, near + " x")]
     got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got.count((None, 5)) == 2 and (None, None) in got and (5, 5) in got
+
+
+def test_keep_one_of_rows_that_ids_do_not_tell_apart(spark):
+    texts = [" ".join(f"{k}{i}" for i in range(300)) for k in "abcde"]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (5, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (3, texts[4]), (9, None), (None, "")]
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(None, texts[0]), (5, texts[1]), (None, texts[2]), (7, texts[3]), (3, texts[4]), (9, None)], key=str)
+    # A doc_id of two texts doesn't join their components.
+    ids = {(r["doc_id"], r["fp"] & (2**64 - 1)): r["component_id"] for r in simhash.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert ids[7, brute_fp(texts[3])] == 7 and ids[7, brute_fp(texts[4])] == ids[3, brute_fp(texts[4])] == 3
