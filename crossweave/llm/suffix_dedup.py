@@ -19,8 +19,9 @@ suffix from a smaller document; the least common prefix on the way there is the
 Windows are equal if their bytes are (step 3) or if two independent hashes of 40 and 48 bits of the anchor and
 the run, besides the anchor's bucket, are (steps 1 and 2). The first copy of a passage always stays.
 
-Defined results: null and empty texts have no bytes; a null doc_id counts as larger than any other; rows that
-share a doc_id are one document, whose removed positions are pooled; an empty table gives an empty result.
+Defined results: null and empty texts have no bytes; a null doc_id counts as larger than any other; of rows that
+share a doc_id, or have none, none is earlier than the other, and each text is cut at its own positions (a run's
+``first`` holds the text's slot above ``POSITION_BITS``); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,6 +48,8 @@ MAX_CONTEXTS = 4_000
 #: Hash buckets for each shuffle partition.
 BUCKETS = 8
 NO_ID = 2**63 - 1
+#: A run's first position in its text takes so many bits (Spark's strings are shorter), the text's slot those above.
+POSITION_BITS = 31
 _U = np.uint64
 
 
@@ -203,14 +206,15 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     return h.view("<u8").ravel(), c.view("<u8").ravel(), key, first, rest[16 * n :].astype(np.int64)
 
 
-def _block(docs: list[tuple[int, bytes]], buckets: int) -> Iterator[tuple[int, int, bytes]]:
-    """(bucket, kind, blob) of a block; kind 0: anchors to compare, kind 1: runs that are settled."""
+def _block(docs: list[tuple], buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, kind, blob) of a block of (key, bytes, slot or nothing); kind 0: anchors to compare, kind 1: runs that are settled."""
     docs = sorted((d for d in docs if len(d[1]) >= MATCH), key=lambda d: d[0])
     if not docs:
         return
-    ends = np.cumsum([len(raw) for _, raw in docs])
-    text, h, c, first, count = anchors(np.frombuffer(b"".join(raw for _, raw in docs), np.uint8), ends)
-    key = np.array([k for k, _ in docs], np.int64)[text]
+    ends = np.cumsum([len(d[1]) for d in docs])
+    text, h, c, first, count = anchors(np.frombuffer(b"".join(d[1] for d in docs), np.uint8), ends)
+    key = np.array([d[0] for d in docs], np.int64)[text]
+    first = first + (np.array([d[2] if len(d) > 2 else 0 for d in docs], np.int64) << POSITION_BITS)[text]
     c &= _U(2**48 - 1)
     both = h ^ _mix(c)
     order = np.argsort(both, kind="stable")  # keys rise within equal runs
@@ -230,7 +234,17 @@ def _block(docs: list[tuple[int, bytes]], buckets: int) -> Iterator[tuple[int, i
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    """``docs`` with __key (the order of owners) and __slot, which tells apart the different texts of one key: 0 where it has one only."""
+    hashed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    shared = store(hashed.select("__key", text.alias("h")).groupBy("__key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("__key"))
+    if shared.isEmpty():
+        return hashed.withColumn("__slot", F.lit(0).cast("long"))
+    hashed = hashed.withColumn("__h", text)
+    # Read back before they are numbered, so that the numbers stay.
+    pairs = store(hashed.join(shared, "__key", "left_semi").select("__key", "__h").distinct())
+    slots = store(pairs.sparkSession.createDataFrame(pairs.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), "__key long, __h long, __slot long"))
+    return hashed.join(slots, ["__key", "__h"], "left").withColumn("__slot", F.coalesce("__slot", F.lit(0))).drop("__h")
 
 
 def _settle(inner, c, key, first, count) -> dict[str, np.ndarray]:
@@ -250,7 +264,7 @@ def _settle(inner, c, key, first, count) -> dict[str, np.ndarray]:
 
 
 def _runs(docs: DataFrame) -> DataFrame:
-    """key, first, count, grp, hot: settled runs (grp is null) and runs to compare."""
+    """key, first, count, grp, hot: settled runs (grp is null) and runs to compare, of ``docs(key, slot, text)``."""
     n = partitions(docs.sparkSession)
     buckets = BUCKETS * n
 
@@ -264,8 +278,8 @@ def _runs(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary())], names=["bucket", "kind", "blob"])
 
         for batch in batches:
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                held.append((key, text.encode("utf-8", "surrogatepass")))
+            for key, slot, text in zip(*(batch.column(k).to_pylist() for k in ("key", "slot", "text"))):
+                held.append((key, text.encode("utf-8", "surrogatepass"), slot))
                 size += len(held[-1][1])
                 if size >= BLOCK_BYTES:
                     yield from out()
@@ -300,7 +314,7 @@ def _runs(docs: DataFrame) -> DataFrame:
                 held.append(rows)
         yield from out()
 
-    blobs = arrow_map(_keyed(docs), read, "bucket int, kind int, blob binary", TEXT_ROWS)
+    blobs = arrow_map(docs, read, "bucket int, kind int, blob binary", TEXT_ROWS)
     dealt = blobs.repartition(n, "bucket").sortWithinPartitions("bucket")
     return arrow_map(dealt, meet, "key long, first long, count int, grp long, hot boolean")
 
@@ -313,21 +327,21 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, text, runs in zip(*(batch.column(n).to_pylist() for n in ("key", "text", "runs"))):
             raw = text.encode("utf-8", "surrogatepass")
             for run in runs:
-                first, count = run["first"], run["count"]
+                base, first, count = run["first"] >> POSITION_BITS << POSITION_BITS, run["first"] & (1 << POSITION_BITS) - 1, run["count"]
                 if not run["hot"]:
-                    rows.append((run["grp"], key, first, raw[first : first + count + MATCH - 1]))
+                    rows.append((run["grp"], key, base + first, raw[first : first + count + MATCH - 1]))
                     continue
                 for at in range(first, first + count):
                     window = raw[at : at + MATCH]
                     digest = hashlib.blake2b(window, digest_size=8).digest()
                     known = seen.get(digest)
                     if known is not None and known < key:
-                        rows.append((None, key, at, b""))  # settled: this task has it from a smaller document
+                        rows.append((None, key, base + at, b""))  # settled: this task has it from a smaller document
                         continue
                     if len(seen) >= 1_000_000:
                         seen.clear()
                     seen[digest] = key
-                    rows.append((int.from_bytes(digest, "little", signed=True), key, at, window))
+                    rows.append((int.from_bytes(digest, "little", signed=True), key, base + at, window))
         columns = list(zip(*rows)) if rows else [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["grp", "key", "first", "context"])
 
@@ -374,19 +388,22 @@ def _union(lists: list) -> list[tuple[int, int]]:
     return out
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """key, runs: for each document, the runs of windows that a document with a smaller key has too."""
-    n = partitions(docs.sparkSession)
+def spans(keyed: DataFrame) -> DataFrame:
+    """key, slot, runs: for each text of ``_keyed``, the runs of windows that a document with a smaller key has too."""
+    n = partitions(keyed.sparkSession)
+    docs = keyed.select(F.col("__key").alias("key"), F.col("__slot").alias("slot"), F.coalesce("text", F.lit("")).alias("text"))
+    slot = F.shiftright("first", POSITION_BITS).alias("slot")
     runs = store(_runs(docs))
     settled = runs.filter("grp IS NULL").select("key", "first", "count")
-    open_ = runs.filter("grp IS NOT NULL").groupBy("key").agg(F.collect_list(F.struct("grp", "first", "count", "hot")).alias("runs"))
-    cut_out = arrow_map(_keyed(docs).join(open_, "key").select("key", "text", "runs"), _contexts, "grp long, key long, first long, context binary", TEXT_ROWS)
+    open_ = runs.filter("grp IS NOT NULL").groupBy("key", slot).agg(F.collect_list(F.struct("grp", "first", "count", "hot")).alias("runs"))
+    cut_out = arrow_map(docs.join(open_, ["key", "slot"]).select("key", "text", "runs"), _contexts, "grp long, key long, first long, context binary", TEXT_ROWS)
     met = store(cut_out)
     here = met.filter("grp IS NULL").select("key", "first", F.lit(1).alias("count"))
     dealt = met.filter("grp IS NOT NULL").repartition(n, "grp").sortWithinPartitions("grp")
     matched = arrow_map(dealt, _compare, "key long, first long, count int")
     every = settled.unionByName(here).unionByName(matched)
-    return every.groupBy("key").agg(F.collect_list(F.struct("first", "count")).alias("runs"))
+    position = F.col("first").bitwiseAND(2**POSITION_BITS - 1).alias("first")
+    return every.groupBy("key", slot).agg(F.collect_list(F.struct(position, "count")).alias("runs"))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,8 +425,9 @@ def remaining(raw: bytes, cut: list[tuple[int, int]]) -> bytes:
 
 
 def _joined(docs: DataFrame) -> DataFrame:
-    found = spans(docs).select(F.col("key").alias("__key"), F.col("runs").alias("__runs"))
-    return docs.join(found, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == found["__key"], "left").drop("__key")
+    keyed = _keyed(docs)
+    found = spans(keyed).select(F.col("key").alias("__key"), F.col("slot").alias("__slot"), F.col("runs").alias("__runs"))
+    return keyed.join(found, ["__key", "__slot"], "left").drop("__key", "__slot")
 
 
 def measure(docs: DataFrame) -> DataFrame:

@@ -121,3 +121,16 @@ def test_odd_documents(spark, odd_docs, no_docs):
     assert rows[2]["text"] == "" and rows[2]["n_chars"] == 0
     assert rows[1]["text"] == docs[0][1] and rows[4]["text"] is None and rows[12]["text"] == "spam " * 100
     assert sd.strip(no_docs).count() == 0
+
+
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_texts_that_ids_do_not_tell_apart(spark, monkeypatch, hot):
+    """Null ids, and an id of several texts: long and short ones, whole copies, and passages shared in part with earlier documents and each other."""
+    monkeypatch.setattr(sd, "MAX_CONTEXTS", hot)
+    docs = [(None if d % 2 else d % 5, t) for d, t in passages(8, 40)]
+    shared = "a passage which some documents have in common, of more than fifty bytes, and a little more than that"
+    docs += [(1, "first " + shared), (None, "x" * 900 + shared[10:] + "y"), (None, "z" + shared[:70]), (None, "short"), (None, None), (7, shared + "tail"), (7, "other " * 40 + shared[5:80]), (7, "")]
+    docs += [docs[-2], docs[-7]]
+    got = run(spark, docs)
+    assert got == brute(docs)
+    assert all(removed <= size for _, size, removed, _, _ in got)
