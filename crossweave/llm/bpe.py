@@ -9,8 +9,13 @@ merges in order.
 Two tokens are compatible if no merge across their boundary comes before the merges that built them: the pieces
 next to the boundary are the right edge of the left token's merge tree and the left edge of the right one's.
 
-Words repeat, so encoded words are held in a bounded table. Texts without words, null texts and texts with the
-vocabulary's special tokens are defined: empty texts have no tokens, a special token in a text is its own id.
+Words repeat, so encoded words are held in a bounded table.
+
+Defined results: null and empty texts have no tokens; a special token of the vocabulary in a text is its own id;
+texts, words and runs of white space of any length are encoded whole, in linear time, and only those of one part
+of a batch (``TEXT_ROWS`` rows) are held at once; repeated rows are returned as often as they occur, and doc_id, of
+any type or null, is only carried; an empty table gives an empty result; columns other than doc_id and text aren't
+read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -171,7 +176,8 @@ class BytePairEncoder:
 
     def _encode_part(self, part: str) -> bytes:
         out = []
-        for word in self.words.findall(part):
+        plain = part.isascii() and (part.isalpha() or part[:1] == " " and part[1:].isalpha())  # one word of letters
+        for word in (part,) if plain else self.words.findall(part):
             ids = self.known.get(word)
             if ids is None:
                 ids = np.array(self.encode_word(word.encode("utf-8", "surrogatepass")), "<u4").tobytes()
@@ -188,13 +194,13 @@ class BytePairEncoder:
         try:
             return b"".join(chain((self.first[first],), map(self.rest.__getitem__, rest)))
         except _Irregular:
-            parts = [first]
+            runs = [[first]]
             for part in rest:  # runs of white space stay in one part
                 if not part or part[0].isspace():
-                    parts[-1] += " " + part
+                    runs[-1].append(part)
                 else:
-                    parts.append(part)
-            return b"".join([self.first[parts[0]], *map(self.rest.__getitem__, parts[1:])])
+                    runs.append([part])
+            return b"".join([self.first[" ".join(runs[0])], *(self.rest[" ".join(x)] for x in runs[1:])])
 
     def encode(self, text: str) -> bytes:
         """Token ids of a whole text, as little-endian unsigned 32-bit numbers."""

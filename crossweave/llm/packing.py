@@ -5,17 +5,23 @@ open bin has, so the tightest bin that takes a piece is found by a shift and a l
 the fixed number closes the fullest open one. Pieces are fed in windows, the longest of a window first, which
 is nearly as tight as packing all of them in order of length, in bounded memory.
 
-Documents never exceed their own text: only those longer than a sequence are cut, into full sequences after a
-first piece with what is over. Defined results: null and empty texts have the end token alone; repeated rows are
-packed as often as they occur; an empty table gives an empty result.
+Only documents longer than a sequence are cut, into full sequences after a first piece with what is over. Each
+partition packs by itself and leaves at most a few sequences with space, so their number follows the number of
+tokens (``PARTITION_TOKENS``) and not the session's setting.
+
+Defined results: null and empty texts have the end token alone; texts of any length are tokenised whole; equal and
+repeated rows are packed as often as they occur (which of equal pieces goes where is settled by their order in the
+partition); rows that share a doc_id, or have none, are packed one by one; doc_id may be of any type; an empty
+table gives an empty result; columns other than doc_id and text aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +30,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossweave.llm.bpe import WORD_PATTERN, byte_alphabet
-from crossweave.llm.common import TEXT_ROWS, arrow_map, texts
+from crossweave.llm.bpe import WORD_PATTERN, byte_alphabet, encoder
+from crossweave.llm.common import TEXT_ROWS, arrow_map, store, texts
 
 LENGTH = 1024
 #: Fixed value: the id that ends a document.
 END_ID = 2
 OPEN_BINS = 32_768
 WINDOW = 16_384
+#: Tokens of a partition that packs by itself, up to so many partitions (beyond, they grow; a task holds a window and its open bins).
+PARTITION_TOKENS = 1 << 24
+MAX_PARTITIONS = 16_384
+#: The compiled encoder's pattern engine backtracks over white space, with a stack that ends near a million characters.
+_LONG_SPACE = re.compile(r"\s{10000}")
 
 
 _encodings: dict[str, tiktoken.Encoding] = {}
@@ -49,6 +60,18 @@ def encoding(spec: bytes) -> tiktoken.Encoding:
     return _encodings[key]
 
 
+def tokeniser(spec: bytes) -> Callable[[str], bytes]:
+    """A function from a whole text to its token ids as little-endian unsigned 32-bit numbers; ``bpe`` encodes texts with very long white space."""
+    compiled = encoding(spec)
+
+    def ids(text: str) -> bytes:
+        if len(text) >= 10_000 and _LONG_SPACE.search(text):
+            return encoder(spec).encode(text)
+        return compiled.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+
+    return ids
+
+
 def cut_points(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
     """(start, size) of the pieces of a document of n tokens."""
     over = n % length
@@ -97,11 +120,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: i
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoding(spec.value)
+        tokenise = tokeniser(spec.value)
         for batch in batches:
             rows = []
             for row, text in enumerate(texts(batch.column("text"))):
-                ids = bpe.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes() + end
+                ids = tokenise(text) + end
                 rows += [(row, k, a, n, zlib.crc32(ids[4 * a : 4 * (a + n)])) for k, (a, n) in enumerate(cut_points(len(ids) // 4, length))]
             made = np.array(rows, np.int64).reshape(-1, 5)
             columns = [batch.column("doc_id").take(pa.array(made[:, 0])), pa.array(made[:, 1].astype(np.int32)), *(pa.array(made[:, k]) for k in (2, 3, 4))]
@@ -112,8 +135,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: i
 
 def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: int = END_ID, open_bins: int = OPEN_BINS, window: int = WINDOW) -> DataFrame:
     """The pieces with sequence_id and offset. Only numbers are shuffled, neither texts nor tokens."""
-    rows = pieces(docs, tokenizer_path, length, end_id)
-    dealt = rows.repartition(F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.xxhash64("doc_id", "piece"), "doc_id", "piece", "start", "length", "ids_crc32")
+    rows = store(pieces(docs, tokenizer_path, length, end_id))
+    tokens = rows.agg(F.sum("length")).first()[0] or 0
+    n = max(1, min(MAX_PARTITIONS, -(-tokens // PARTITION_TOKENS)))
+    dealt = rows.repartition(n, F.xxhash64("doc_id", "piece")).sortWithinPartitions(F.xxhash64("doc_id", "piece"), "doc_id", "piece", "start", "length", "ids_crc32")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

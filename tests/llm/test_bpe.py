@@ -58,6 +58,36 @@ def test_long_words():
     same("-" * 5000 + "=" * 5000)
 
 
+@pytest.mark.parametrize("text", ["x" + " " * 1_000_000 + "x", "\n" * 1_000_000, "a" + " \n\t\r\xa0" * 200_000 + "b", ("y" + " " * 3) * 250_000])
+def test_long_white_space(text):
+    want = np.array(reference.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert ours.encode(text) == want
+    assert packing.tokeniser(open(PATH, "rb").read())(text) == want
+
+
+@pytest.mark.parametrize("unit", [" ", "\n", " \t\n", "x", "y   "])
+def test_time_is_linear(unit):
+    import time
+
+    def took(n):
+        best = 9e9
+        for _ in range(2):
+            start = time.process_time()
+            ours.encode("a" + unit * (n // len(unit)) + "b")
+            best = min(best, time.process_time() - start)
+        return best
+
+    assert took(800_000) < 8 * took(200_000)
+
+
+def test_pieces_of_long_white_space(spark):
+    rows = [(1, "x" + " " * 1_200_000 + "x"), (2, "\n" * 1_000_000), (3, "a b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["n"] for r in packing.pack(df, PATH).groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()}
+    assert found == {i: len(reference.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows}
+    assert {r["doc_id"]: r["n_tokens"] + 1 for r in bpe.round_trip(df, PATH).collect()} == found
+
+
 def test_every_token_is_its_own_encoding():
     alphabet = {b: c for c, b in bpe.byte_alphabet().items()}
     for id_, raw in enumerate(ours.raw[:50256]):
