@@ -22,10 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; only where none is set, as in tests, a local one."""
+    """Use the shared folder of ``spark.checkpoint.dir``; only a session on one machine may have none, and gets a local one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="crossweave-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="crossweave-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -75,11 +78,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Deal rows by hash of keys over the session's shuffle partitions."""
-    return df.repartition(partitions(df.sparkSession), *[F.col(k) for k in keys])
+def unused(name: str, taken: list[str]) -> str:
+    """A column name like ``name`` that none of the taken ones is."""
+    known = {x.lower() for x in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
 
 
+#: Tables that this process has stored and not removed.
+_stored: list[str] = []
+
 
 def store(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back: compact, and safe from lost executors."""
@@ -87,4 +96,23 @@ def store(df: DataFrame) -> DataFrame:
     with_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/crossweave-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stored() -> int:
+    """How many stored tables there are: what ``release`` takes to leave them alone."""
+    return len(_stored)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Remove the tables stored since then, which the caller knows that nothing will read again."""
+    for path in _stored[since:]:
+        remove(spark, path)
+    del _stored[since:]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

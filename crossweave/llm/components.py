@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossweave.llm.common import cut
-
-#: A path of n nodes takes some log n rounds; this is only a guard against a table that changes while it is read.
-MAX_ROUNDS = 100
-
+from crossweave.llm.common import store
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -20,19 +16,20 @@ def roots(links: DataFrame) -> DataFrame:
 
     Only counts and checksums reach the driver. Minima are summed up before each shuffle and read back, so that
     the joins that follow are plain equi-joins of two tables, in which adaptive execution splits a hub's rows.
+    Each step is stored as a table, whose size Spark then knows (estimates that are carried along would be squared by every
+    join). Rounds go on until nothing changes (a path of n nodes takes some log n of them). Null nodes are linked to nothing;
+    repeated links count once; an empty table gives an empty result.
     """
-    edges = cut(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
+    edges = store(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     before = _state(edges)
-    for _ in range(MAX_ROUNDS):
-        if before[0] == 0:
-            break
+    while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        least = store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = cut(large)
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = store(large)
+        least = store(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        edges = cut(small.filter("u <> v").distinct())
+        edges = store(small.filter("u <> v").distinct())
         after = _state(edges)
         if after == before:
             break

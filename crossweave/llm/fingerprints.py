@@ -1,15 +1,20 @@
 """Threshold-scaled document fingerprints.
 
-A sketch keeps every five-word shingle hash below a fixed fraction of the hash range, and the ``LEAST`` smallest
-hashes in any case, so that short texts, of which the fraction would keep next to nothing, are sketched whole.
+A sketch keeps every five-word shingle hash below a fixed fraction (1 / ``SCALE``) of the hash range, and the
+``LEAST`` smallest hashes in any case, so that of short texts, of which the fraction would keep next to nothing,
+enough is kept. Long texts have sketches of a tenth of their size. The error of a containment c is some
+sqrt(c (1 - c) / n), with n the hashes of the smaller sketch up to where both are complete: 0.06 at most for texts
+of like size or of a thousand words and more, 0.2 for one of a hundred words in a very long one.
 Sketches of parts merge to that of the whole by union (then drop hashes over the threshold except the smallest).
 Likeness is containment: the share of the smaller sketch that the other one has, which stays meaningful between
 very unequal documents. It is taken below the hash up to which both sketches are complete.
 
 Defined results: texts with fewer than five words have one shingle, all their words; texts without words have an
-empty sketch, which is like another empty one (1.0) and unlike any other (0.0); null texts are empty; rows with
-the same doc_id follow each other in the order of their texts; a null doc_id comes last; in a table of one row
-the next document is the row itself.
+empty sketch, which is like another empty one (1.0) and unlike any other (0.0); null texts are empty; very long
+texts are sketched whole; rows with the same doc_id follow each other in the order of their texts (null first), and
+repeated rows are returned as often as they occur; a null doc_id comes last; in a table of one row the next document
+is the row itself; an empty table gives an empty result; columns other than doc_id (a number) and text aren't read,
+so their names can't clash.
 """
 
 from __future__ import annotations
@@ -27,11 +32,11 @@ from pyspark.sql import functions as F
 from crossweave.llm.common import TEXT_ROWS, arrow_map, partitions
 
 SHINGLE = 5
-HASH_BITS = 48
+HASH_BITS = 40
 #: One of so many hashes is kept.
-SCALE = 4
+SCALE = 16
 #: So many of the smallest hashes are kept in any case.
-LEAST = 16
+LEAST = 64
 #: Ranges of doc_id for each shuffle partition.
 RANGES = 4
 #: Word hashes held by a worker at once.
@@ -51,7 +56,7 @@ _words = _WordHashes()
 
 
 def shingle_hashes(text: str) -> np.ndarray:
-    """48-bit hashes of the shingles, repeats included."""
+    """Hashes of the shingles, of ``HASH_BITS`` bits, repeats included."""
     words = text.encode("utf-8", "surrogatepass").split()
     hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
     width = min(SHINGLE, len(words))
@@ -90,8 +95,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
 
 
 def render(values: np.ndarray) -> str:
-    """Twelve hex digits for each hash."""
-    return values.astype(">u8").tobytes().hex() if HASH_BITS == 64 else np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BITS // 8 :]).tobytes().hex()
+    """Ten hex digits for each hash."""
+    return np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BITS // 8 :]).tobytes().hex()
 
 
 def edited(text: str, following: str) -> str:

@@ -22,8 +22,8 @@ base AS (
   FROM d LEFT JOIN repeats USING (r)),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
 hosts AS (SELECT source, count(*) AS n_docs, count(*) FILTER (WHERE base_failed) AS n_failed FROM judged GROUP BY source),
-moments AS (SELECT coalesce(avg(n_failed / n_docs), 0) AS m, var_pop(n_failed / n_docs) AS v FROM hosts),
-prior AS (SELECT m, CASE WHEN v > 1e-12 AND v < m * (1 - m) THEN m * (1 - m) / v - 1 ELSE 100.0 END AS s FROM moments),
+moments AS (SELECT coalesce(avg(n_failed / n_docs), 0) AS m, var_pop(n_failed / n_docs) AS v, avg(1 / n_docs) AS a FROM hosts),
+prior AS (SELECT m, 1 / least(greatest(CASE WHEN m * (1 - m) > 0 AND a < 1 THEN (v / (m * (1 - m)) - a) / (1 - a) ELSE 0.0 END, 1e-6), 1.0) - 1 AS s FROM moments),
 verdicts AS (SELECT source, (n_failed + m * s) / (n_docs + s) <= 0.5 AS host_kept FROM hosts, prior)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
@@ -68,16 +68,18 @@ lv AS (SELECT *, CASE WHEN bare = '' THEN -1 ELSE level END AS lev FROM l),
 st AS (SELECT *, sum(CASE WHEN before IS DISTINCT FROM lev THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS run
        FROM (SELECT *, lag(lev) OVER (PARTITION BY r ORDER BY i) AS before, lead(level) OVER (PARTITION BY r ORDER BY i) AS after FROM lv)),
 p AS (
-  SELECT r, conv_id, turn, place, level, md5(t) AS hash FROM (
-    SELECT r, any_value(conv_id) AS conv_id, any_value(turn) AS turn, min(i) AS place, any_value(lev) AS level, lower(string_agg(bare, ' ' ORDER BY i)) AS t
-    FROM st WHERE lev >= 0 GROUP BY r, run) WHERE length(t) >= 12),
-q AS (SELECT * FROM p WHERE level > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL),
-here AS (SELECT hash, conv_id, min(turn) AS turn FROM p WHERE level = 0 AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
-first AS (SELECT hash, min((conv_id, turn)) AS f FROM here GROUP BY hash),
+  SELECT r, any_value(conv_id) AS conv_id, any_value(turn) AS turn, min(i) AS place, any_value(lev) AS level, run, count(*) AS n, 0 AS part, lower(string_agg(bare, ' ' ORDER BY i)) AS t
+  FROM st WHERE lev >= 0 GROUP BY r, run),
+units AS (
+  SELECT r, conv_id, turn, place, level, part, t FROM p
+  UNION ALL SELECT st.r, st.conv_id, st.turn, i, lev, 1, lower(bare) FROM st JOIN p ON st.r = p.r AND st.run = p.run WHERE n > 1),
+q AS (SELECT * FROM units WHERE level > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL),
+here AS (SELECT t, conv_id, min(turn) AS turn FROM units WHERE level = 0 AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+first AS (SELECT t, min((conv_id, turn)) AS f FROM here WHERE length(t) >= 12 GROUP BY t),
 linked AS (
-  SELECT q.conv_id, q.turn, q.level, q.place, CASE WHEN here.turn < q.turn THEN (here.conv_id, here.turn) WHEN f < (q.conv_id, q.turn) THEN f END AS target
-  FROM q LEFT JOIN here ON q.hash = here.hash AND q.conv_id = here.conv_id LEFT JOIN first ON q.hash = first.hash),
-reply AS (SELECT conv_id, turn, arg_min(target, (level, place, target)) AS target FROM linked WHERE target IS NOT NULL GROUP BY conv_id, turn),
+  SELECT q.conv_id, q.turn, q.level, q.place, q.part, CASE WHEN here.turn < q.turn THEN (here.conv_id, here.turn) WHEN f < (q.conv_id, q.turn) THEN f END AS target
+  FROM q LEFT JOIN here ON q.t = here.t AND q.conv_id = here.conv_id LEFT JOIN first ON q.t = first.t),
+reply AS (SELECT conv_id, turn, arg_min(target, (level, place, part, target)) AS target FROM linked WHERE target IS NOT NULL GROUP BY conv_id, turn),
 flat AS (SELECT conv_id, turn, target[1] AS to_conv, target[2] AS to_turn FROM reply),
 walk AS (
   SELECT conv_id, turn, to_conv AS c, to_turn AS t, 1 AS depth FROM flat

@@ -2,12 +2,13 @@
 
 A document fails the base rules if it is short or mostly repeats itself. The share of failures of each
 host (the ``source`` column) is shrunk towards all hosts by a beta prior whose two parameters are fitted to
-the hosts' own rates (method of moments). A host whose shrunk rate is over ``reject_rate`` is rejected with
-everything on it.
+the hosts' own rates by their first two moments, without the spread that small hosts have by chance. A host whose
+shrunk rate is over ``reject_rate`` is rejected with everything on it.
 
-Defined results: null and empty texts have no words, so they fail; a null host is a host of its own; repeated
-rows are counted and returned as often as they occur; an empty table gives an empty result; columns that the
-operator doesn't know are left alone.
+Defined results: null and empty texts have no words, so they fail; very long texts are counted whole; a null host
+is a host of its own; rows are judged one by one, whatever their doc_id (null, repeated, of any type), and repeated
+rows are counted and returned as often as they occur; a host at the rate itself stays; an empty table gives an empty
+result; ``score`` reads doc_id, text and source only, and ``keep`` carries all other columns whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossweave.llm.common import TEXT_ROWS, arrow_map, cut, texts
+from crossweave.llm.common import TEXT_ROWS, arrow_map, cut, store, texts
 
 #: The symbols that are counted.
 SYMBOLS = b"#*$%&|<>"
@@ -27,8 +28,8 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Hosts with a shrunk failure rate above this are rejected.
 REJECT_RATE = 0.5
-#: Weight of the prior in documents, where the hosts' rates don't tell one (one host, or no spread).
-DEFAULT_STRENGTH = 100.0
+#: The least correlation of a host's documents that is told from none; the prior weighs at most its inverse in documents.
+LEAST_CORRELATION = 1e-6
 #: Host verdicts are broadcast up to this many hosts (some 10 MB); beyond, they are joined by a shuffle.
 BROADCAST_HOSTS = 100_000
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
@@ -87,11 +88,17 @@ def base_rules(docs: DataFrame) -> DataFrame:
 
 def host_verdicts(base: DataFrame, reject_rate: float = REJECT_RATE) -> DataFrame:
     """host, n_docs, n_failed, shrunk_rate, host_kept: one row per host, from counts that are summed before the shuffle."""
-    hosts = base.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
+    return _judged(base.groupBy("host").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed")), reject_rate)
+
+
+def _judged(hosts: DataFrame, reject_rate: float) -> DataFrame:
     rate = F.col("n_failed") / F.col("n_docs")
-    moments = hosts.agg(F.sum("n_failed").alias("f"), F.sum("n_docs").alias("n"), F.avg(rate).alias("mean"), F.var_pop(rate).alias("spread"))
+    moments = hosts.agg(F.avg(rate).alias("mean"), F.var_pop(rate).alias("spread"), F.avg(1 / F.col("n_docs")).alias("small"))
     mean = F.coalesce(F.col("mean"), F.lit(0.0))
-    strength = F.when((F.col("spread") > 1e-12) & (F.col("spread") < mean * (1 - mean)), mean * (1 - mean) / F.col("spread") - 1).otherwise(F.lit(DEFAULT_STRENGTH))
+    # Of rates of beta-binomial hosts the expected spread is m (1 - m) (c + (1 - c) avg(1 / n)), with c = 1 / (strength + 1).
+    chance = mean * (1 - mean)
+    correlation = F.when((chance > 0) & (F.col("small") < 1), (F.col("spread") / chance - F.col("small")) / (1 - F.col("small"))).otherwise(F.lit(0.0))
+    strength = 1 / F.least(F.greatest(correlation, F.lit(LEAST_CORRELATION)), F.lit(1.0)) - 1
     prior = moments.select((mean * strength).alias("alpha"), ((1 - mean) * strength).alias("beta"))
     shrunk = (F.col("n_failed") + F.col("alpha")) / (F.col("n_docs") + F.col("alpha") + F.col("beta"))
     # The prior is one row, whatever the input.
@@ -113,13 +120,18 @@ def score(docs: DataFrame, reject_rate: float = REJECT_RATE) -> DataFrame:
 
 
 def keep(docs: DataFrame, reject_rate: float = REJECT_RATE) -> DataFrame:
-    """``docs`` without the rejected documents; all columns stay."""
-    hosts = cut(host_verdicts(base_rules(docs), reject_rate))
-    kept_hosts = hosts.filter("host_kept").select(F.col("host").alias("__host"))
+    """``docs`` without the rejected documents; all columns stay.
+
+    Texts are read once: what passes the base rules is stored, and the failures of a host are its rows less those."""
+    passing = store(arrow_map(docs, _keep_passing, docs.schema, TEXT_ROWS))
+    host = F.col("source").cast("string").alias("host")
+    every = docs.select(host, F.lit(1).alias("n_docs"), F.lit(1).alias("n_failed"))
+    counts = every.unionAll(passing.select(host, F.lit(0), F.lit(-1))).groupBy("host").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_failed").alias("n_failed"))
+    hosts = cut(_judged(counts, reject_rate))
+    kept_hosts = hosts.filter("host_kept").select("host")
     few = hosts.count() <= BROADCAST_HOSTS
-    on = docs["source"].cast("string").eqNullSafe(kept_hosts["__host"])
-    good = docs.join(F.broadcast(kept_hosts) if few else kept_hosts, on, "left_semi")
-    return arrow_map(good, _keep_passing, docs.schema, TEXT_ROWS)
+    on = passing["source"].cast("string").eqNullSafe(kept_hosts["host"])
+    return passing.join(F.broadcast(kept_hosts) if few else kept_hosts, on, "left_semi")
 
 
 def _keep_passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,22 +1,27 @@
 """SimHash near-duplicates by a binary-trie self-join.
 
-Fingerprints of 64 bits are linked at three or fewer differing bits. Two such fingerprints agree on one of
-four bands of 16 bits, so each distinct fingerprint goes to the four tries of its bands (a band's value is the
-path to the trie's root). In a trie, pairs of nodes are walked together from the root; each split adds to the
-bits that differ, and a pair over the budget is left. A task returns a spanning forest of the links it finds,
-never all pairs; the forests are joined to components by star contraction.
-
-A band value with more than ``MAX_GROUP`` fingerprints is cut into blocks, and each pair of blocks is a task of
-its own: nothing is dropped and no task grows with the group.
-
-Defined results: null and empty texts have fingerprint zero and are linked like any other; repeated rows and
-equal texts share a fingerprint; an empty table gives an empty result; the component of rows without any
-doc_id is null.
+Fingerprints of 64 bits are linked at three or fewer differing bits. Of ``bands`` bands of bits, two such
+fingerprints agree in all but three, so each distinct fingerprint goes to the tries of every choice of so many
+bands (their bits are the path to the trie's root): four tries by 16 bits for few fingerprints, ten by 25, twenty
+by 32 or thirty-five by 36 for more, so that tries stay small whatever the number (``scheme``). In a trie, pairs
+of nodes are walked together from the root; each split adds to the bits that differ, and a pair over the budget is
+left. A task returns a spanning forest of the links it finds, never all pairs; the forests are joined to
+components by star contraction.
+
+A trie with more than ``MAX_GROUP`` fingerprints is cut into blocks, and each pair of blocks is a task of its own:
+nothing is dropped and no task grows with the group.
+
+Defined results: null and empty texts have fingerprint zero and are linked like any other; very long texts are
+read whole, in bounded memory beside the text; repeated rows and equal texts share a fingerprint; rows that share a
+doc_id are linked by their texts alone; the component of rows without any doc_id is null; an empty table gives an
+empty result; other columns than doc_id and text aren't read by ``components`` and are carried by ``keep_one``
+whatever their names (names that differ by case alone aside).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,15 +29,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crossweave.llm.common import TEXT_ROWS, arrow_map, cut, partitions, texts
+from crossweave.llm.common import TEXT_ROWS, arrow_map, cut, partitions, texts, unused
 from crossweave.llm.components import roots
 
 SEED = 42
 SHINGLE = 3
 BUDGET = 3
-BANDS = 4
-BAND_BITS = 64 // BANDS
-#: Fingerprints in a task's trie, unless the band's value has fewer.
+#: (bands, bands that agree), from short paths to long ones.
+SCHEMES = tuple((BUDGET + agree, agree) for agree in (1, 2, 3, 4))
+#: Evenly spread fingerprints that a trie may have before paths get longer.
+EVEN_GROUP = 256
+#: Fingerprints in a task's trie, unless the trie has fewer.
 MAX_GROUP = 8192
 #: Node pairs with at most so many pairs of leaves are compared leaf by leaf.
 LEAF_PAIRS = 16
@@ -164,12 +171,24 @@ def _link_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(*(np.concatenate(x) for x in zip(*held)))
 
 
-def links(prints: DataFrame) -> DataFrame:
+def scheme(n: int) -> tuple[int, int]:
+    """Bands, and how many of them agree, for n distinct fingerprints."""
+    return next((s for s in SCHEMES if n <= EVEN_GROUP << (64 // s[0] * s[1])), SCHEMES[-1])
+
+
+def masks(bands: int, agree: int) -> list[int]:
+    """The bits of every choice of ``agree`` bands, as signed longs."""
+    edges = [64 * k // bands for k in range(bands + 1)]
+    chosen = (sum((1 << b) - (1 << a) for a, b in c) for c in combinations(list(zip(edges, edges[1:])), agree))
+    return [m - 2**64 if m >= 2**63 else m for m in chosen]
+
+
+def links(prints: DataFrame, bands: int | None = None) -> DataFrame:
     """u, v: a spanning forest of the links between distinct fingerprints, as their nodes (``prints``: fp, node)."""
     n = partitions(prints.sparkSession)
-    value = lambda k: F.shiftrightunsigned(F.col("fp"), BAND_BITS * k).bitwiseAND(2**BAND_BITS - 1)
-    bands = F.array(*[(F.lit(k * 2**BAND_BITS).cast("long") + value(k)) for k in range(BANDS)])
-    rows = prints.select("fp", "node", F.explode(bands).alias("band"))
+    of, agree = scheme(prints.count()) if bands is None else (bands, bands - BUDGET)
+    paths = F.array(*[F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(masks(of, agree))])
+    rows = prints.select("fp", "node", F.explode(paths).alias("band"))
     large = cut(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MAX_GROUP).select("band", F.ceil(F.col("n") / MAX_GROUP).cast("int").alias("blocks")))
     blocked = rows.join(large, "band", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     # The block of a fingerprint is read off its bits, mixed; it meets every block once.
@@ -184,7 +203,7 @@ def _rooted(prints: DataFrame, first: Column) -> tuple[DataFrame, DataFrame]:
     """fp, root of each distinct fingerprint, and root, first: the least ``first`` of each component.
 
     Fingerprints are their own nodes, so rows that share a doc_id, or have none, are linked by their texts alone."""
-    distinct = prints.groupBy("fp").agg(F.min(first).alias("first"))
+    distinct = cut(prints.groupBy("fp").agg(F.min(first).alias("first")))
     tree = roots(links(distinct.select("fp", F.col("fp").alias("node")))).select(F.col("node").alias("fp"), "root")
     rooted = cut(distinct.join(tree, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
     # Read back, tables meet in a plain join, whose hot keys adaptive execution can split.
@@ -200,10 +219,14 @@ def components(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row for each component: that of its smallest doc_id (null is the largest) and, among those, its least text hash. All columns stay."""
+    """``docs`` with one row for each component: that of its smallest doc_id (null is the largest), then of its least text hash,
+    then of the least hash of all its columns; of rows that are equal in all of them, one. All columns stay."""
     key = F.sha2(F.coalesce("text", F.lit("")), 256)
-    prints = cut(fingerprints(docs.select("doc_id", "text", key.alias("key"))))
-    _, least = _rooted(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
-    kept = least.select(F.col("first.doc_id").alias("__kept"), F.col("first.key").alias("__kept_key"))
-    rows = docs.withColumn("__key", key)
-    return rows.join(kept, rows["doc_id"].eqNullSafe(kept["__kept"]) & (rows["__key"] == kept["__kept_key"]), "left_semi").dropDuplicates(["doc_id", "__key"]).drop("__key")
+    whole = F.xxhash64(*[f.name for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    prints = cut(fingerprints(docs.select("doc_id", "text", key.alias("key"), whole.alias("whole"))))
+    _, least = _rooted(prints, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "whole"))
+    kept = least.select("first.doc_id", "first.key", "first.whole")
+    own, mixed = (unused(n, docs.columns) for n in ("key", "whole"))
+    rows = docs.withColumns({own: key, mixed: whole})
+    same = rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows[own] == kept["key"]) & (rows[mixed] == kept["whole"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", own]).drop(own, mixed)

@@ -12,16 +12,23 @@ suffix from a smaller document; the least common prefix on the way there is the
 2. Anchors meet by hash. A run that a smaller document has in full is settled. Where only the anchors agree, the
    texts under the windows have to be compared.
 3. Those texts are cut out (one shuffle of the documents) and meet by anchor; their suffixes are sorted and the
-   longest previous factors taken. Anchors with more than ``MAX_CONTEXTS`` different runs are cut into windows,
-   of which a task sends only that of the least document, so that no anchor is too large for a task.
+   longest previous factors taken. Anchors of more than ``MAX_CONTEXTS`` runs are cut into windows, of which a text
+   sends each different one once (with all its places) and a task only that of the least document, so that an
+   anchor isn't too large for a task, and a text that repeats itself isn't either.
 4. The settled runs of a document are united and its remaining bytes kept.
 
-Windows are equal if their bytes are (step 3) or if two independent hashes of 40 and 48 bits of the anchor and
-the run, besides the anchor's bucket, are (steps 1 and 2). The first copy of a passage always stays.
-
-Defined results: null and empty texts have no bytes; a null doc_id counts as larger than any other; of rows that
-share a doc_id, or have none, none is earlier than the other, and each text is cut at its own positions (a run's
-``first`` holds the text's slot above ``POSITION_BITS``); an empty table gives an empty result.
+In step 3 windows are equal if their bytes are. In steps 1 and 2 whole runs are taken as equal if their hashes are:
+within a block by 64 bits that mix the hashes of anchor and run, between blocks by 40 and 48 bits of the two and the
+anchor's bucket. For n different runs that is wrong for some n² / 2^89 pairs by chance (0.002 of one for 10^12
+runs; n² / 2^65 for the at most 10^6 runs of a block), and can be forged on purpose. The first copy of a passage
+always stays.
+
+Defined results: null and empty texts have no bytes; very long texts are read whole; a null doc_id counts as larger
+than any other; of rows that share a doc_id, or have none, none is earlier than the other, and each text is cut at
+its own positions (a run's ``first`` holds the text's slot above ``POSITION_BITS``); repeated rows are returned as
+often as they occur; doc_id has to be a number, or a string of one (other strings count as null); an empty table
+gives an empty result; ``measure`` reads doc_id and text only, and ``strip`` carries all other columns whatever
+their names.
 """
 
 from __future__ import annotations
@@ -43,7 +50,7 @@ GRAM = 20
 BLOCK_BYTES = 12 << 20
 #: Windows that are hashed at once (at most 2^20: a position takes 20 bits beside its hash).
 CHUNK = 1 << 16
-#: Different runs of one anchor beyond which its windows are dealt out one by one.
+#: Runs of one anchor beyond which its windows are dealt out one by one.
 MAX_CONTEXTS = 4_000
 #: Hash buckets for each shuffle partition.
 BUCKETS = 8
@@ -235,7 +242,7 @@ def _block(docs: list[tuple], buckets: int) -> Iterator[tuple[int, int, bytes]]:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with __key (the order of owners) and __slot, which tells apart the different texts of one key: 0 where it has one only."""
-    hashed = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    hashed = docs.withColumn("__key", F.coalesce(F.col("doc_id").try_cast("long"), F.lit(NO_ID)))
     text = F.xxhash64(F.coalesce("text", F.lit("")))
     shared = store(hashed.select("__key", text.alias("h")).groupBy("__key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("__key"))
     if shared.isEmpty():
@@ -256,11 +263,12 @@ def _settle(inner, c, key, first, count) -> dict[str, np.ndarray]:
     of_c, of_h = np.cumsum(new_c) - 1, np.cumsum(new_h) - 1
     settled = key > key[new_c][of_c]
     runs = np.bincount(of_h[new_c], minlength=of_h[-1] + 1)  # different runs of each anchor
+    all_runs = np.bincount(of_h[~settled], minlength=of_h[-1] + 1)
     least, most = np.minimum.reduceat(key, np.flatnonzero(new_h)), np.maximum.reduceat(key, np.flatnonzero(new_h))
     open_ = ~settled & (runs > 1)[of_h] & (least < most)[of_h]
     keep = settled | open_
     group = np.where(open_, inner.view(np.int64), -1)
-    return {"key": key[keep], "first": first[keep], "count": count[keep], "group": group[keep], "hot": (runs > MAX_CONTEXTS)[of_h][keep]}
+    return {"key": key[keep], "first": first[keep], "count": count[keep], "group": group[keep], "hot": (all_runs > MAX_CONTEXTS)[of_h][keep]}
 
 
 def _runs(docs: DataFrame) -> DataFrame:
@@ -320,30 +328,30 @@ def _runs(docs: DataFrame) -> DataFrame:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with their runs to the bytes under the runs' windows; windows of hot anchors one by one, once a task."""
+    """Texts with their runs to the bytes under the runs' windows and where they start; windows of hot anchors one by one, once a text and task."""
     seen: dict[bytes, int] = {}
     for batch in batches:
         rows = []
         for key, text, runs in zip(*(batch.column(n).to_pylist() for n in ("key", "text", "runs"))):
             raw = text.encode("utf-8", "surrogatepass")
+            places: dict[bytes, list[int]] = {}
             for run in runs:
                 base, first, count = run["first"] >> POSITION_BITS << POSITION_BITS, run["first"] & (1 << POSITION_BITS) - 1, run["count"]
                 if not run["hot"]:
-                    rows.append((run["grp"], key, base + first, raw[first : first + count + MATCH - 1]))
+                    rows.append((run["grp"], key, [base + first], raw[first : first + count + MATCH - 1]))
                     continue
                 for at in range(first, first + count):
-                    window = raw[at : at + MATCH]
-                    digest = hashlib.blake2b(window, digest_size=8).digest()
-                    known = seen.get(digest)
-                    if known is not None and known < key:
-                        rows.append((None, key, base + at, b""))  # settled: this task has it from a smaller document
-                        continue
-                    if len(seen) >= 1_000_000:
-                        seen.clear()
-                    seen[digest] = key
-                    rows.append((int.from_bytes(digest, "little", signed=True), key, base + at, window))
+                    places.setdefault(raw[at : at + MATCH], []).append(base + at)
+            for window, starts in places.items():
+                if seen.get(window, key) < key:
+                    rows.append((None, key, starts, b""))  # settled: this task has it from a smaller document
+                    continue
+                if len(seen) >= 200_000:
+                    seen.clear()
+                seen[window] = key
+                rows.append((int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), key, starts, window))
         columns = list(zip(*rows)) if rows else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["grp", "key", "first", "context"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))], names=["grp", "key", "firsts", "context"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,11 +361,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
         groups, owners = table["grp"].to_numpy(), table["key"].to_numpy()
-        contexts, firsts = table["context"].to_pylist(), table["first"].to_pylist()
+        contexts, places = table["context"].to_pylist(), table["firsts"].to_pylist()
         rows = []
-        for key, first, hit in zip(owners.tolist(), firsts, repeated_windows(groups, owners, contexts)):
+        for key, firsts, hit in zip(owners.tolist(), places, repeated_windows(groups, owners, contexts)):
             edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
-            rows += [(key, first + a, b - a) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
+            rows += [(key, first + a, b - a) for first in firsts for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
         columns = list(zip(*rows)) if rows else [()] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32()))], names=["key", "first", "count"])
 
@@ -396,9 +404,9 @@ def spans(keyed: DataFrame) -> DataFrame:
     runs = store(_runs(docs))
     settled = runs.filter("grp IS NULL").select("key", "first", "count")
     open_ = runs.filter("grp IS NOT NULL").groupBy("key", slot).agg(F.collect_list(F.struct("grp", "first", "count", "hot")).alias("runs"))
-    cut_out = arrow_map(docs.join(open_, ["key", "slot"]).select("key", "text", "runs"), _contexts, "grp long, key long, first long, context binary", TEXT_ROWS)
+    cut_out = arrow_map(docs.join(open_, ["key", "slot"]).select("key", "text", "runs"), _contexts, "grp long, key long, firsts array<long>, context binary", TEXT_ROWS)
     met = store(cut_out)
-    here = met.filter("grp IS NULL").select("key", "first", F.lit(1).alias("count"))
+    here = met.filter("grp IS NULL").select("key", F.explode("firsts").alias("first"), F.lit(1).alias("count"))
     dealt = met.filter("grp IS NOT NULL").repartition(n, "grp").sortWithinPartitions("grp")
     matched = arrow_map(dealt, _compare, "key long, first long, count int")
     every = settled.unionByName(here).unionByName(matched)
@@ -440,21 +448,20 @@ def measure(docs: DataFrame) -> DataFrame:
 def strip(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes taken out of ``text`` (what a cut leaves of a character goes too) and ``n_chars`` to fit."""
     names = docs.columns
+    others = [n for n in names if n not in ("doc_id", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for text, runs in zip(batch.column("text").to_pylist(), batch.column("__runs").to_pylist()):
+            made, every = [], batch.column("__runs").to_pylist()
+            for text, runs in zip(batch.column("text").to_pylist(), every):
                 made.append(remaining(text.encode("utf-8", "surrogatepass"), _union([runs])).decode("utf-8", "ignore") if runs and text else text)
-            columns = []
-            for name in names:
-                if name == "text":
-                    columns.append(pa.array(made, pa.string()))
-                elif name == "n_chars":
-                    old = batch.column(name).to_pylist()
-                    columns.append(pa.array([len(t) if r else o for t, r, o in zip(made, batch.column("__runs").to_pylist(), old)], batch.schema.field(name).type))
-                else:
-                    columns.append(batch.column(name))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return arrow_map(_joined(docs), run, docs.schema, TEXT_ROWS)
+            columns = dict(zip(others, batch.column("others").flatten())) if others else {}
+            if "n_chars" in columns:
+                old = columns["n_chars"]
+                columns["n_chars"] = pa.array([len(t) if r else o for t, r, o in zip(made, every, old.to_pylist())], old.type)
+            columns |= {"doc_id": batch.column("doc_id"), "text": pa.array(made, pa.string())}
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+
+    # Other columns go along in one, so that their names meet no inner ones.
+    packed = docs.select("doc_id", "text", *([F.struct(*others).alias("others")] if others else []))
+    return arrow_map(_joined(packed), run, docs.schema, TEXT_ROWS)

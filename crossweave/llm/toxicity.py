@@ -9,10 +9,12 @@ The model is fitted on a bounded sample of labelled rows: at most ``MAX_POSITIVE
 whose crc32(doc_id) mod 4 is not 2, least hash of the id first. The intercept is corrected for the shares of the
 classes in all such labels. One task sees the sample's features, several times over; every text is scored.
 
-Defined results: null and empty texts have no features and score what the intercept gives; without any labelled
-rows of both classes every text scores the share of positive labels (0 if there are none); rows with a null
-doc_id are never in the sample; a doc_id with several labels or rows counts with each of them; an empty table
-gives an empty result.
+Defined results: null and empty texts have no features and score what the intercept gives; very long texts are
+scored whole; without any labelled rows of both classes every text scores the share of positive labels (0 if there
+are none); rows with a null doc_id are never in the sample and not held out; labels other than 0 and 1 are not read;
+a doc_id with several labels or rows counts with each of them, and repeated rows are returned as often as they
+occur; equal texts have equal scores; an empty table gives an empty result; ``score`` reads doc_id and text only,
+and ``keep_clean`` carries all other columns whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from crossweave.llm.common import TEXT_ROWS, arrow_map, texts
 BITS = 20
 MAX_POSITIVE = 6_000
 MAX_NEGATIVE = 10_000
-#: Features of the sample that are held at once (some 160 MB); texts beyond are left out of the sample.
+#: Features of the sample that are held at once (some 160 MB); the sample, which comes in order of a hash, ends where they are full.
 MAX_FEATURES = 40_000_000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
@@ -164,9 +166,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer | float:
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, ends, known = bytearray(), [0], []  # one block of memory, which goes back as a whole
+        full = False
         for batch in batches:
             for found, label in zip(batch.column("found").to_pylist(), batch.column("label").to_pylist()):
-                if ends[-1] + len(found) // 4 <= MAX_FEATURES:
+                full = full or ends[-1] + len(found) // 4 > MAX_FEATURES  # shorter texts that would still fit must not be favoured
+                if not full:
                     held += found
                     ends.append(ends[-1] + len(found) // 4)
                     known.append(label)

@@ -67,3 +67,28 @@ def test_ranges(spark):
         rows = spark.range(-5, 420).select("id", fingerprints._range_of(F.col("id"), bounds).alias("b")).collect()
         assert all(r["b"] == sum(r["id"] < x for x in bounds) for r in rows)
         assert spark.sql("SELECT cast(null AS long) AS x").select(fingerprints._range_of(F.col("x"), bounds)).first()[0] == n + 1
+
+
+def test_error_of_containment():
+    """Against exact shingle sets, for texts of 100 to 4,000 words that share a part."""
+    import random
+
+    rng = random.Random(11)
+    errors, large = [], []
+    for k in range(200):
+        n = rng.choice([100, 300, 1000, 4000])
+        shared = rng.randint(0, n)
+        a = [f"w{k}x{i}" for i in range(n)]
+        b = a[:shared] + [f"v{k}x{i}" for i in range(rng.choice([50, 500, 3000]))]
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+        near, _ = fingerprints.likeness(fingerprints.sketch(" ".join(a)), fingerprints.sketch(" ".join(b)))
+        errors.append(near - len(x & y) / min(len(x), len(y)))
+        if min(len(x), len(y)) > 900:
+            large.append(errors[-1])
+    assert np.sqrt(np.mean(np.square(errors))) < 0.1 and abs(np.mean(errors)) < 0.02
+    assert len(large) > 20 and np.sqrt(np.mean(np.square(large))) < 0.06
+
+
+def test_long_texts_have_small_sketches():
+    text = " ".join(f"word{i}" for i in range(20_000))
+    assert len(fingerprints.render(fingerprints.sketch(text))) < len(text) / 10

@@ -44,3 +44,20 @@ def test_bad_host_takes_all_its_documents(spark):
     kept = {r["doc_id"] for r in quality_rules.score(docs).filter("kept").collect()}
     assert kept == set(range(100, 200))
     assert {r["doc_id"] for r in quality_rules.keep(docs).collect()} == kept
+
+
+def test_prior_leaves_out_chance(spark):
+    """Many small hosts with one rate: their spread is chance, and shrinking is nearly whole."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    rows = [(f"h{h}", rng.random() < 0.3) for h in range(400) for _ in range(5)]
+    got = quality_rules.host_verdicts(spark.createDataFrame(rows, "host string, base_failed boolean")).agg(F.min("shrunk_rate"), F.max("shrunk_rate")).first()
+    assert 0.2 < got[0] <= got[1] < 0.45
+    rows = [(f"h{h}", i < 45 * (h % 2)) for h in range(40) for i in range(50)]
+    got = {r["host"]: r for r in quality_rules.host_verdicts(spark.createDataFrame(rows, "host string, base_failed boolean")).collect()}
+    assert got["h1"]["shrunk_rate"] > 0.88 and got["h0"]["shrunk_rate"] < 0.02
+    one = quality_rules.host_verdicts(spark.createDataFrame([("a", True)] * 3 + [("a", False)], "host string, base_failed boolean")).first()
+    assert abs(one["shrunk_rate"] - 0.75) < 1e-9

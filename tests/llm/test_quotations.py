@@ -23,6 +23,14 @@ ROWS = [
     (None, 1, "user", f"> {A}\nfrom nowhere"),
     (4, None, "user", f"> {A}\nfrom no turn"),
     (0, 5, "user", "Really? So many birds?"),
+    (6, 0, "user", "One line of three here.\nAnother line of the three.\nAnd a third one, the last."),
+    (6, 1, "user", "> Another line of the three.\nOnly the second."),
+    (6, 2, "user", "> Another line of the three. And a third\n> one, the last.\nWrapped, and not a whole passage."),
+    (6, 3, "user", "> One line of three here. Another line\n> of the three. And a third one,\n> the last.\nWrapped anew."),
+    (6, 4, "user", "Yes, do it"),
+    (6, 5, "user", "> Yes, do it\nGood."),
+    (7, 0, "user", "> Yes, do it\nfrom another conversation"),
+    (7, 1, "user", "> unknown words of nobody\n> And a third one, the last.\n> Another line of the three.\nSome lines."),
     (5, 0, "user", "line of a long message here\n" * 3000 + f"> {A}\n" * 500),
 ]
 
@@ -48,6 +56,8 @@ def test_links(spark):
     assert reply[1, 1] == (1, 0) and reply[1, 2] == (1, 1) and reply[1, 3] == (1, 2) and reply[1, 4] == (None, None)
     assert reply[2, 0] == (1, 0) and reply[2, 1] == (None, None) and reply[2, 2] == (0, 5) or reply[2, 2] == (2, 1)
     assert rows[1, 3]["depth"] == 3 and (rows[1, 3]["thread_conv"], rows[1, 3]["thread_turn"]) == (1, 0)
+    assert reply[6, 1] == (6, 0) and reply[6, 3] == (6, 0) and reply[6, 5] == (6, 4) and reply[7, 0] == (None, None) and reply[7, 1] == (6, 0)
+    assert rows[7, 1]["n_quotes"] == 1 and rows[2, 2]["n_quotes"] == 2
     assert rows[1, 2]["content"] == C and rows[1, 2]["max_level"] == 2
     assert rows[1, 3]["content"] == "Some do stay, in fact.\n\nMany of them."
     assert rows[3, 3]["content"] == "On and on they wrote:\nwithout any quotation"

@@ -116,3 +116,40 @@ def test_keep_one_of_rows_that_ids_do_not_tell_apart(spark):
     # A doc_id of two texts doesn't join their components.
     ids = {(r["doc_id"], r["fp"] & (2**64 - 1)): r["component_id"] for r in simhash.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert ids[7, brute_fp(texts[3])] == 7 and ids[7, brute_fp(texts[4])] == ids[3, brute_fp(texts[4])] == 3
+
+
+def test_schemes(spark):
+    assert [simhash.scheme(n) for n in (0, 10**6, 10**9, 10**11, 10**13)] == [(4, 1), (4, 1), (5, 2), (6, 3), (7, 4)]
+    for bands, agree in simhash.SCHEMES:
+        found = [m & (2**64 - 1) for m in simhash.masks(bands, agree)]
+        rng = random.Random(bands)
+        for _ in range(300):
+            bits = sum(1 << b for b in rng.sample(range(64), 3))
+            assert any(not bits & m for m in found)
+    prints = {i: v for i, v in enumerate(clustered(150, 9))}
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    df = spark.createDataFrame([(signed(v), i) for i, v in prints.items()], "fp long, node long")
+    from crossweave.llm.components import roots
+
+    want = brute_components(prints)
+    for bands, _ in simhash.SCHEMES[1:]:
+        tree = {r["node"]: r["root"] for r in roots(simhash.links(df, bands)).collect()}
+        assert {i: tree.get(i, i) for i in prints} == want
+
+
+def test_a_long_path(spark):
+    from crossweave.llm.components import roots
+
+    order = list(range(10_000))
+    random.Random(4).shuffle(order)
+    df = spark.createDataFrame(list(zip(order, order[1:])), "u long, v long").repartition(4)
+    tree = roots(df).collect()
+    assert len(tree) == 9_999 and {r["root"] for r in tree} == {0}
+
+
+def test_keep_one_is_settled_by_all_columns(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text, c, "x", "y") for c in "cabd"] + [(1, text, "a", "x", "y")]
+    schema = "doc_id long, text string, source string, key string, whole string"
+    first = [simhash.keep_one(spark.createDataFrame(r, schema)).collect() for r in (rows, rows[::-1])]
+    assert len(first[0]) == 1 and first[0] == first[1] and first[0][0]["key"] == "x" and first[0][0]["whole"] == "y"

@@ -134,3 +134,27 @@ def test_texts_that_ids_do_not_tell_apart(spark, monkeypatch, hot):
     got = run(spark, docs)
     assert got == brute(docs)
     assert all(removed <= size for _, size, removed, _, _ in got)
+
+
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_texts_that_repeat_themselves(spark, monkeypatch, hot):
+    monkeypatch.setattr(sd, "MAX_CONTEXTS", hot)
+    docs = [(5, "abcdefg " * 4000), (3, "x" + "abcdefg " * 900 + "tail"), (8, "abcdefg " * 700 + "another end"), (9, "bcdefg a" * 30)]
+    assert run(spark, docs) == brute(docs)
+
+
+def test_strip_with_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    passage = "a passage of the text that is longer than fifty bytes, which both of them have"
+    df = spark.createDataFrame([(2, "one " + passage, 1), (1, "two " + passage, 2), (None, None, None)], "doc_id long, text string, n_chars int")
+    for name in ("__runs", "__key", "__slot", "__h", "runs", "others", "key", "first"):
+        df = df.withColumn(name, F.lit(name))
+    out = sd.strip(df)
+    assert out.schema == df.schema
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert rows[1]["text"] == "two " + passage and rows[2]["text"] == "one" and rows[2]["n_chars"] == 3 and rows[2]["__runs"] == "__runs"
+    bare = sd.strip(df.select("text", "doc_id"))
+    assert {r["doc_id"]: r["text"] for r in bare.collect()} == {1: "two " + passage, 2: "one", None: None}
+    strings = spark.createDataFrame([("b", passage), ("2", passage + "!"), ("10", passage)], "doc_id string, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in sd.measure(strings).collect()} == {"2": 0, "10": len(passage), "b": len(passage)}
