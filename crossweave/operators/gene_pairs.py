@@ -9,6 +9,9 @@ from crossweave.constants import EXPRESSION_FLOOR, PAIR_LIMIT, PAIR_P_THRESHOLD,
 from crossweave.functions.numeric import guarded
 from crossweave.functions.text import encode_pair
 from crossweave.operators.expression import gene_stats, standardised
+from crossweave.operators.markers import markers
+from crossweave.operators.scores import mapping_scores
+from crossweave.sources.checkpoint import cut
 
 
 def linked_cells(edges: DataFrame, cells: DataFrame) -> DataFrame:
@@ -61,11 +64,11 @@ def pair_scores(clusters: DataFrame, homology: DataFrame, edges: DataFrame, expr
     return rated.select("c1", "c2", "g1", "g2", F.when(every, F.col("score")).otherwise(F.lit(0.0)).alias("score"))
 
 
-def find_genes(scores: DataFrame, markers: DataFrame, n_genes: int = PAIR_LIMIT, thr: float = PAIR_P_THRESHOLD) -> DataFrame:
-    """c1, c2, pair, g1, g2, rank, p1, p2: the n best pairs of each pair of clusters whose features are markers of their clusters."""
-    order = Window.partitionBy("c1", "c2").orderBy(F.desc("score"), "g1", "g2")
+def find_genes(scores: DataFrame, tested: DataFrame, n_genes: int = PAIR_LIMIT, thr: float = PAIR_P_THRESHOLD) -> DataFrame:
+    """c1, c2, pair, g1, g2, rank, p1, p2: the n best pairs of each pair of clusters whose features are markers of their clusters (``tested``: gene, cluster, pval)."""
+    order = Window.partitionBy("c1", "c2").orderBy(F.desc(F.round("score", 12)), "g1", "g2")
     best = scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n_genes)
-    one, two = (markers.select(F.col("cluster").alias(c), F.col("gene").alias(g), F.col("pval").alias(p)) for c, g, p in (("c1", "g1", "p1"), ("c2", "g2", "p2")))
+    one, two = (tested.select(F.col("cluster").alias(c), F.col("gene").alias(g), F.col("pval").alias(p)) for c, g, p in (("c1", "g1", "p1"), ("c2", "g2", "p2")))
     kept = best.join(one, ["c1", "g1"]).join(two, ["c2", "g2"]).filter((F.col("p1") < thr) & (F.col("p2") < thr))
     return kept.select("c1", "c2", encode_pair(F.col("g1"), F.col("g2")).alias("pair"), "g1", "g2", "rank", "score", "p1", "p2")
 
@@ -76,22 +79,32 @@ def unique_genes(found: DataFrame, side: str = "g1") -> DataFrame:
 
 
 class GenePairFinder:
-    """Linked feature pairs of a finished mapping; statistics and markers are computed once and kept by Spark."""
+    """Linked feature pairs of a finished mapping; markers are computed once, as a table in the checkpoint folder."""
 
-    def __init__(self, edges: DataFrame, homology: DataFrame, expr: DataFrame, cells: DataFrame, genes: DataFrame, scores: DataFrame) -> None:
-        from crossweave.operators.markers import markers
+    def __init__(self, edges: DataFrame, homology: DataFrame, expr: DataFrame, cells: DataFrame, genes: DataFrame, scores: DataFrame, k: float = 1.0) -> None:
+        """``scores``: of all cells, over k."""
+        self.edges, self.homology, self.expr, self.cells, self.genes, self.scores, self.k = edges, homology, expr, cells, genes, scores, k
+        self._markers: DataFrame | None = None
 
-        self.edges, self.homology, self.expr, self.cells, self.genes, self.scores = edges, homology, expr, cells, genes, scores
-        self.markers = markers(expr, cells, genes).persist()
+    @property
+    def markers(self) -> DataFrame:
+        if self._markers is None:
+            self._markers = cut(markers(self.expr, self.cells, self.genes))
+        return self._markers
+
+    def pair_scores(self, align_thr: float = 0.1, w1t: float = WEIGHT_FLOOR, w2t: float = WEIGHT_FLOOR) -> DataFrame:
+        """The scores of all homologous pairs of all mapped pairs of clusters."""
+        return pair_scores(mapped_clusters(self.scores, self.cells, align_thr), self.homology, self.edges, self.expr, self.cells, self.genes, w1t, w2t)
 
     def find_genes(self, c1: str, c2: str, w1t: float = WEIGHT_FLOOR, w2t: float = WEIGHT_FLOOR, n_genes: int = PAIR_LIMIT, thr: float = PAIR_P_THRESHOLD) -> DataFrame:
         """The pairs of two clusters, named in either order."""
         pairs = mapped_clusters(self.scores, self.cells, 0.0).filter(F.array_sort(F.array("c1", "c2")) == F.array(*map(F.lit, sorted((c1, c2)))))
         return self._find(pairs, w1t, w2t, n_genes, thr)
 
-    def find_all(self, cluster: str | None = None, align_thr: float = 0.1, w1t: float = WEIGHT_FLOOR, w2t: float = WEIGHT_FLOOR, n_genes: int = PAIR_LIMIT, thr: float = PAIR_P_THRESHOLD) -> DataFrame:
-        """The pairs of all mapped clusters, in long form."""
-        return self._find(mapped_clusters(self.scores, self.cells, align_thr, cluster), w1t, w2t, n_genes, thr)
+    def find_all(self, cluster: str | None = None, align_thr: float = 0.1, w1t: float = WEIGHT_FLOOR, w2t: float = WEIGHT_FLOOR, n_genes: int = PAIR_LIMIT, thr: float = PAIR_P_THRESHOLD, n_top: int = 0) -> DataFrame:
+        """The pairs of all mapped clusters, in long form; with ``n_top``, clusters are mapped by that many of their best cells."""
+        found = mapping_scores(self.edges, self.cells, n_top, self.k) if n_top else self.scores
+        return self._find(mapped_clusters(found, self.cells, align_thr, cluster), w1t, w2t, n_genes, thr)
 
     def _find(self, pairs: DataFrame, w1t: float, w2t: float, n_genes: int, thr: float) -> DataFrame:
         return find_genes(pair_scores(pairs, self.homology, self.edges, self.expr, self.cells, self.genes, w1t, w2t), self.markers, n_genes, thr)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,9 +12,14 @@ from pyspark.sql import functions as F
 
 from crossweave.functions.numeric import floored, tanh_scale
 from crossweave.operators.linalg import by_row_max, by_row_sum, top_k
+from crossweave.sources.checkpoint import cut
 
 #: Vectors in a tile; a task holds two tiles and their products.
 TILE = 4096
+#: Of the approximate search: centres at most, cells of the sample for each, and the share of the sample's neighbours to be found.
+MOST_CENTRES = 4096
+SAMPLE_EACH = 16
+RECALL = 0.95
 
 
 def nearest(latent: DataFrame, k: int, other_species: bool = True, tile: int = TILE) -> DataFrame:
@@ -21,7 +27,7 @@ def nearest(latent: DataFrame, k: int, other_species: bool = True, tile: int = T
 
     Exact. Both sides are cut into tiles; each pair of tiles is a task, which returns k rows for each of its
     sources, so what is shuffled afterwards grows with the tiles and not with the pairs of cells. The number of
-    pairs is quadratic all the same; for more cells than that allows, ``candidates`` prunes first."""
+    pairs is quadratic all the same; for more cells than that allows, ``approximate`` prunes first."""
     n = latent.count()
     tiles = max(1, math.ceil(n / tile))
     at = F.pmod(F.xxhash64("cell"), F.lit(tiles)).cast("int")
@@ -29,15 +35,18 @@ def nearest(latent: DataFrame, k: int, other_species: bool = True, tile: int = T
     every = F.sequence(F.lit(0), F.lit(tiles - 1))
     left = rows.withColumn("other", F.explode(every)).select("cell", "species", "vec", F.col("tile").alias("a"), F.col("other").alias("b"))
     right = rows.withColumn("other", F.explode(every)).select("cell", "species", "vec", F.col("other").alias("a"), F.col("tile").alias("b"))
-    cell = latent.schema["cell"].dataType.simpleString()
+    return _best(left, right, ["a", "b"], k, other_species)
+
+
+def _best(left: DataFrame, right: DataFrame, keys: list[str], k: int, other_species: bool = True) -> DataFrame:
+    """The k best dst (``right``) of each src (``left``) and dataset among the blocks that meet by keys."""
+    cell = left.schema["cell"].dataType.simpleString()
 
     def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
         names, kinds = ["src", "dst", "dst_species", "cos"], [left.schema.field("cell").type, right.schema.field("cell").type, pa.string(), pa.float64()]
         out = [[], [], [], []]
         if left.num_rows and right.num_rows:
-            x, y = (np.array(t["vec"].to_pylist()) for t in (left, right))
-            with np.errstate(invalid="ignore", divide="ignore"):
-                x, y = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (x, y))
+            x, y = (_unit(np.array(t["vec"].to_pylist())) for t in (left, right))
             src, dst = left["cell"].to_pylist(), np.array(right["cell"].to_pylist(), dtype=object)
             mine, theirs = left["species"].to_pylist(), np.array(right["species"].to_pylist(), dtype=object)
             for species in sorted(set(theirs.tolist())):
@@ -45,7 +54,8 @@ def nearest(latent: DataFrame, k: int, other_species: bool = True, tile: int = T
                 rows = [i for i, s in enumerate(mine) if (s != species) == other_species]
                 if not rows:
                     continue
-                cos = np.nan_to_num(x[rows] @ y[of].T, nan=0.0)
+                # Rounded, so that equal vectors tie whatever block they are in.
+                cos = np.round(np.nan_to_num(x[rows] @ y[of].T, nan=0.0), 12)
                 # One more than k and all that tie with the last, so that the merge can break ties by id.
                 for i, c in zip(rows, cos):
                     last = np.partition(c, len(c) - k - 1)[len(c) - k - 1] if len(c) > k + 1 else -np.inf
@@ -56,23 +66,78 @@ def nearest(latent: DataFrame, k: int, other_species: bool = True, tile: int = T
                     out[3] += c[near].tolist()
         return pa.table([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
 
-    pairs = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(multiply, f"src {cell}, dst {cell}, dst_species string, cos double").filter("src <> dst")
+    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(multiply, f"src {cell}, dst {cell}, dst_species string, cos double").filter("src <> dst")
     return top_k(pairs, k, ["src", "dst_species"], "cos", ["dst"])
 
 
-def candidates(latent: DataFrame, k: int, bucket: float = 0.5, tables: int = 8, seed: int = 7) -> DataFrame:
-    """As ``nearest``, approximately: only cells that share a bucket of random projections are compared."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+def _unit(x: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.nan_to_num(x / np.linalg.norm(x, axis=1, keepdims=True))
+
+
+def centres(x: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
+    """n unit vectors by spherical k-means on unit vectors."""
+    c = x[:: max(1, len(x) // n)][:n].copy()
+    for _ in range(rounds):
+        sums = np.zeros_like(c)
+        np.add.at(sums, np.argmax(x @ c.T, axis=1), x)
+        c = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, _unit(sums), c)
+    return c
+
 
-    unit = F.transform(F.col("vec").cast("array<double>"), lambda x: x / F.sqrt(F.aggregate(F.col("vec").cast("array<double>"), F.lit(0.0), lambda s, y: s + y * y)))
-    rows = latent.select("cell", "species", array_to_vector(unit).alias("unit"))
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(rows)
-    hashed = model.transform(rows).select("cell", "species", vector_to_array("unit").alias("u"), F.posexplode(F.transform("hashes", lambda h: vector_to_array(h)[0])).alias("t", "h"))
-    other = hashed.select(F.col("cell").alias("dst"), F.col("species").alias("dst_species"), F.col("u").alias("w"), "t", "h")
-    met = hashed.join(other, ["t", "h"]).filter("species <> dst_species").select(F.col("cell").alias("src"), "dst", "dst_species", "u", "w").dropDuplicates(["src", "dst"])
-    cos = F.aggregate(F.zip_with("u", "w", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return top_k(met.select("src", "dst", "dst_species", cos.alias("cos")), k, ["src", "dst_species"], "cos", ["dst"])
+def probes_for(x: np.ndarray, c: np.ndarray, k: int, recall: float) -> int:
+    """At how many of its nearest centres a vector finds that share of its k nearest among the others.
+
+    Among more vectors the nearest are nearer, so the number holds for them as well."""
+    asked = x[:: max(1, len(x) // 512)]
+    cos = asked @ x.T
+    cos[cos > 1 - 1e-12] = -np.inf  # itself and its copies are at the first centre
+    found = np.argsort(-cos, axis=1)[:, : min(k, max(1, len(x) - 1))]
+    place = np.empty((len(asked), len(c)), np.int64)
+    np.put_along_axis(place, np.argsort(-(asked @ c.T), axis=1, kind="stable"), np.arange(len(c))[None, :], axis=1)
+    ranks = np.take_along_axis(place, np.argmax(x @ c.T, axis=1)[found], axis=1)
+    return int(np.quantile(ranks, recall)) + 1
+
+
+def approximate(latent: DataFrame, k: int, recall: float = RECALL, most: int = MOST_CENTRES, tile: int = TILE) -> DataFrame:
+    """As ``nearest``, approximately: cells belong to the nearest of some centres (a root of their number, ``most`` at most), and
+    a cell is compared with those of the centres nearest to it: so many as it takes to find that share of the neighbours
+    within a sample.
+
+    Centres are fitted on a bounded sample (``SAMPLE_EACH`` cells for each, those of the least hashes) and broadcast, as
+    their number is bounded; every cell is searched. Centres with many cells are cut into tiles, so that no task grows
+    with them."""
+    n = latent.count()
+    if not n:
+        return nearest(latent, k)
+    count = max(1, min(most, round(math.sqrt(n))))
+    sample = latent.select("cell", F.col("vec").cast("array<double>").alias("vec")).orderBy(F.xxhash64("cell"), "cell").limit(SAMPLE_EACH * count).select("vec").toArrow()["vec"].combine_chunks()
+    x = _unit(sample.flatten().to_numpy().reshape(len(sample), -1))
+    c = centres(x, count)
+    probes = probes_for(x, c, k, recall)
+    fitted = latent.sparkSession.sparkContext.broadcast(c)
+    cell = latent.schema["cell"].dataType.simpleString()
+    rows = latent.select("cell", "species", F.col("vec").cast("array<double>").alias("vec"))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = fitted.value
+        for batch in batches:
+            order = np.argsort(-(_unit(np.array(batch.column("vec").to_pylist()).reshape(batch.num_rows, -1)) @ c.T), axis=1, kind="stable")[:, :probes] if batch.num_rows else np.zeros((0, probes), np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(order.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=[*batch.schema.names, "probes"])
+
+    probed = cut(rows.mapInArrow(near, f"cell {cell}, species string, vec array<double>, probes array<int>"))
+    home = probed.select("cell", "species", "vec", F.col("probes")[0].alias("centre"))
+    asked = probed.select("cell", "species", "vec", F.explode("probes").alias("centre"))
+    # So many tiles of each side of a centre; the lists are as long as the centres at most.
+    sizes = home.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("b_tiles"))
+    asking = asked.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("a_tiles"))
+    tiles = F.broadcast(cut(sizes.join(asking, "centre")))
+    spread = lambda n: F.pmod(F.xxhash64("cell"), F.col(n)).cast("int")
+    left = asked.join(tiles, "centre").withColumn("a", spread("a_tiles")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("b_tiles") - 1)))
+    right = home.join(tiles, "centre").withColumn("b", spread("b_tiles")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("a_tiles") - 1)))
+    # Renamed, as both sides come from one table.
+    columns = [F.col(c).alias(c) for c in ("cell", "species", "vec", "centre", "a", "b")]
+    return _best(left.select(*columns), right.select(*columns), ["centre", "a", "b"], k)
 
 
 def weights(near: DataFrame) -> DataFrame:

@@ -12,17 +12,18 @@ def marker_scores(expr: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFr
     """species, gene, cluster, z for every feature and cluster of two or more cells; clusters of one cell take no part.
 
     Values are not negative, so the cells without a row are one block of ties at the bottom: with z of them its
-    rank is (z + 1) / 2, and the ranks of the others go up by z. No row is made for a zero."""
+    rank is (z + 1) / 2, and the ranks of the others go up by z. No row is made for a zero. Equal values are counted before
+    they are ranked, so that a widespread feature of counts is a few rows."""
     sized = cells.groupBy("species", "cluster").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     part = cells.join(sized.select("species", "cluster"), ["species", "cluster"], "left_semi")
     n = part.groupBy("species").agg(F.count(F.lit(1)).alias("n"))
     rows = expr.filter("value > 0").join(part.select("species", "cell", "cluster"), ["species", "cell"])
-    by_gene = Window.partitionBy("species", "gene")
-    ties = F.count(F.lit(1)).over(Window.partitionBy("species", "gene", "value"))
-    rank = F.rank().over(by_gene.orderBy("value")) + (ties - 1) / 2
-    ranked = rows.select("species", "gene", "cluster", rank.alias("r"))
-    nnz = ranked.groupBy("species", "gene").agg(F.count(F.lit(1)).alias("nnz"))
-    sums = ranked.groupBy("species", "gene", "cluster").agg(F.sum("r").alias("r"), F.count(F.lit(1)).alias("k"))
+    counted = rows.groupBy("species", "gene", "value", "cluster").agg(F.count(F.lit(1)).alias("k"))
+    values = counted.groupBy("species", "gene", "value").agg(F.sum("k").alias("t"), F.collect_list(F.struct("cluster", "k")).alias("own"))
+    upto = F.sum("t").over(Window.partitionBy("species", "gene").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = values.withColumn("r", upto - (F.col("t") - 1) / 2)
+    nnz = values.groupBy("species", "gene").agg(F.sum("t").alias("nnz"))
+    sums = ranked.select("species", "gene", "r", F.explode("own").alias("o")).groupBy("species", "gene", "o.cluster").agg(F.sum(F.col("r") * F.col("o.k")).alias("r"), F.sum("o.k").alias("k"))
     grid = genes.select("species", "gene").distinct().join(sized, "species").join(F.broadcast(n), "species")
     full = grid.join(nnz, ["species", "gene"], "left").join(sums, ["species", "gene", "cluster"], "left").na.fill(0, ["nnz", "k"]).na.fill(0.0, ["r"])
     zeros = F.col("n") - F.col("nnz")

@@ -29,16 +29,17 @@ def neighbourhoods(graph: DataFrame, cells: DataFrame, hops: int) -> DataFrame:
     One ranking over all rings equals top-k by ring with what is left of the budget."""
     size = cells.groupBy("species", "cluster").agg(F.count(F.lit(1)).alias("k"))
     budget = cells.join(size, ["species", "cluster"]).select(F.col("cell").alias("src"), "k")
-    order = Window.partitionBy("src").orderBy("ring", F.desc("weight"), "dst")
+    order = Window.partitionBy("src").orderBy("ring", F.desc(F.round("weight", 12)), "dst")
     ranked = rings(graph, hops).withColumn("__rank", F.row_number().over(order))
     return ranked.join(budget, "src").filter("__rank <= k").select("src", "dst")
 
 
 def coarsened(knn: DataFrame, neighbourhood: DataFrame, least: float = 0.1) -> DataFrame:
-    """src, dst, weight: the weight a cell sends into the neighbourhood of another; small sums are left out."""
+    """src, dst, weight: the weight a cell sends into the neighbourhood of another; small sums are left out (sums that differ from
+    ``least`` by their order of summation alone aren't)."""
     into = neighbourhood.select(F.col("dst").alias("member"), F.col("src").alias("to"))
     sums = knn.join(into, knn["dst"] == into["member"]).groupBy("src", F.col("to").alias("dst")).agg(F.sum("weight").alias("weight"))
-    return sums.filter(F.col("weight") >= least)
+    return sums.filter(F.col("weight") >= least - 1e-9)
 
 
 def coclustered(knn: DataFrame, cells: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def strongest(edges: DataFrame, cells: DataFrame, k: int, pairwise: bool = True)
     """src, dst, weight: the k largest of a row, for each other dataset if there are more than two and ``pairwise``."""
     species = cells.select(F.col("cell").alias("dst"), F.col("species").alias("dst_species"))
     several = pairwise and cells.select("species").distinct().count() > 2
-    order = Window.partitionBy("src", *(["dst_species"] if several else [])).orderBy(F.desc("weight"), "dst")
+    order = Window.partitionBy("src", *(["dst_species"] if several else [])).orderBy(F.desc(F.round("weight", 12)), "dst")
     return edges.join(species, "dst").withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= k).select("src", "dst", "weight")
 
 

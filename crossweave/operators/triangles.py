@@ -9,11 +9,22 @@ from crossweave.constants import ALIGNMENT_THRESHOLD, CORRELATION_THRESHOLD, TRI
 
 
 def triangles(edges: DataFrame) -> DataFrame:
-    """a < b < c with w_ab, w_ac, w_bc, for edges(a, b, w) with a < b: two equi-joins, the second on both ends."""
-    one = edges.select("a", "b", F.col("w").alias("w_ab"))
-    two = edges.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("w").alias("w_bc"))
-    three = edges.select("a", F.col("b").alias("c"), F.col("w").alias("w_ac"))
-    return one.join(two, "b").join(three, ["a", "c"]).select("a", "b", "c", "w_ab", "w_ac", "w_bc")
+    """a < b < c with w_ab, w_ac, w_bc, for edges(a, b, w) with a < b.
+
+    Edges point from the end with fewer edges to the other, so that the pairs of edges that leave an end are few
+    whatever hubs there are (at most a root of the number of edges each); each triangle is found at its least end."""
+    degree = edges.select(F.explode(F.array("a", "b")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("d"))
+    one, two = (degree.select(F.col("x").alias(x), F.struct("d", "x").alias(f"__{x}")) for x in "ab")
+    rated = edges.join(one, "a").join(two, "b")
+    least, most = F.least("__a", "__b"), F.greatest("__a", "__b")
+    out = rated.select(least["x"].alias("u"), most.alias("v"), "w")
+    x, y = (out.select("u", F.col("v").alias(v), F.col("w").alias(f"w_{v}")) for v in "xy")
+    closing = out.select(F.col("u").alias("x_name"), F.col("v.x").alias("y_name"), F.col("w").alias("w_xy"))
+    met = x.join(y, "u").filter("x < y").select("u", F.col("x.x").alias("x_name"), F.col("y.x").alias("y_name"), "w_x", "w_y").join(closing, ["x_name", "y_name"])
+    side = lambda p, q, w: F.struct(F.least(p, q).alias("p"), F.greatest(p, q).alias("q"), F.col(w).alias("w"))
+    # In order, the sides are ab, ac and bc.
+    sides = met.select(F.array_sort(F.array(side("u", "x_name", "w_x"), side("u", "y_name", "w_y"), side("x_name", "y_name", "w_xy"))).alias("s"))
+    return sides.select(F.col("s")[0]["p"].alias("a"), F.col("s")[0]["q"].alias("b"), F.col("s")[1]["q"].alias("c"), *[F.col("s")[i]["w"].alias(n) for i, n in enumerate(("w_ab", "w_ac", "w_bc"))])
 
 
 def cluster_triangles(scores: DataFrame, cells: DataFrame, threshold: float = ALIGNMENT_THRESHOLD) -> DataFrame:
@@ -30,18 +41,16 @@ def gene_triangles(homology: DataFrame, orthologs: DataFrame, threshold: float =
     """Three features of three datasets, all edges at least at the threshold and their least over it, all three pairs orthologs.
 
     With ``markers(gene, cluster, score, pval)``, ``type_*`` names each feature's best cluster and those where it is significant."""
-    edges = homology.filter((F.col("weight") >= threshold) & (F.col("g1") < F.col("g2")) & (F.col("s1") != F.col("s2")))
+    known = orthologs.select(F.least("a", "b").alias("g1"), F.greatest("a", "b").alias("g2")).distinct()
+    # Only orthologous edges over the threshold can be part of a result, so the others make no triangles.
+    edges = homology.filter((F.col("weight") > threshold) & (F.col("g1") < F.col("g2")) & (F.col("s1") != F.col("s2"))).join(known, ["g1", "g2"], "left_semi")
     found = triangles(edges.select(F.col("g1").alias("a"), F.col("g2").alias("b"), F.col("weight").alias("w")))
-    species = edges.select(F.col("g1").alias("g"), F.col("s1").alias("s")).unionByName(edges.select(F.col("g2").alias("g"), F.col("s2").alias("s"))).distinct()
+    species = edges.select(F.explode(F.array(F.struct(F.col("g1").alias("g"), F.col("s1").alias("s")), F.struct(F.col("g2").alias("g"), F.col("s2").alias("s")))).alias("e")).select("e.g", "e.s").distinct()
     for x in "abc":
         found = found.join(species.select(F.col("g").alias(x), F.col("s").alias(f"s_{x}")), x)
-    known = orthologs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
-    for x, y in ("ab", "ac", "bc"):
-        flag = known.select(F.col("x").alias(x), F.col("y").alias(y), F.lit("ortholog").alias(f"type_{x}{y}"))
-        found = found.join(flag, [x, y], "left").withColumn(f"type_{x}{y}", F.coalesce(f"type_{x}{y}", F.lit("homolog")))
-    count = sum(((F.col(f"type_{p}") == "ortholog").cast("int") for p in ("ac", "bc")), (F.col("type_ab") == "ortholog").cast("int"))
-    rated = found.withColumns({"n_orthologs": count, "min_corr": F.least("w_ab", "w_ac", "w_bc")})
-    kept = rated.filter((F.col("s_a") != F.col("s_c")) & (F.col("n_orthologs") == 3) & (F.col("min_corr") > threshold))
+    flags = {f"type_{pair}": F.lit("ortholog") for pair in ("ab", "ac", "bc")}
+    rated = found.withColumns(flags | {"n_orthologs": F.lit(3), "min_corr": F.least("w_ab", "w_ac", "w_bc")})
+    kept = rated.filter(F.col("s_a") != F.col("s_c"))
     if markers is not None:
         types = cell_types(markers, p_threshold)
         for x in "abc":

@@ -68,8 +68,8 @@ LOADINGS = "SELECT gene, pc::INT AS pc, ((split_part(gene,'_',2)::INT * (pc + 3)
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
-    """hits of parts (folded to 200) and suppliers, in two directions."""
-    part = F.concat(F.lit("pa_"), (F.col("l_partkey") % 200).cast("string"))
+    """hits of parts and suppliers, in two directions."""
+    part = F.concat(F.lit("pa_"), F.col("l_partkey").cast("string"))
     supplier = F.concat(F.lit("su_"), F.col("l_suppkey").cast("string"))
     forward = F.col("l_linenumber") % 2 == 0
     return table(spark, d, "lineitem").select(
@@ -77,8 +77,8 @@ def hits(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-HITS = """SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'pa_' || (l_partkey % 200) ELSE 'su_' || l_suppkey END AS query,
- CASE WHEN l_linenumber % 2 = 0 THEN 'su_' || l_suppkey ELSE 'pa_' || (l_partkey % 200) END AS target,
+HITS = """SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'pa_' || l_partkey ELSE 'su_' || l_suppkey END AS query,
+ CASE WHEN l_linenumber % 2 = 0 THEN 'su_' || l_suppkey ELSE 'pa_' || l_partkey END AS target,
  l_discount AS evalue, l_extendedprice AS bitscore, l_linenumber % 2 AS direction FROM lineitem"""
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossweave.operators import datasets, enrichment, gene_pairs, links, markers, paralogs, triangles
+from crossweave.operators import datasets, enrichment, gene_pairs, links, markers, paralogs, scores, triangles
 from crossweave.plans import domain
 from crossweave.plans.catalogue import query
 from crossweave.plans.domain import latent_sql, table, with_tables
@@ -49,24 +49,30 @@ def marker_zscores(spark: SparkSession, d: str) -> DataFrame:
     return markers.marker_scores(domain.expr(spark, d), pooled(spark, d), domain.genes(spark, d)).withColumn("z", r("z"))
 
 
-@query(None)
+# erfc(x) = 1 - 2 / sqrt(pi) exp(-x²) Σ 2^n x^(2n + 1) / (2n + 1)!!, whose terms are all positive.
+ERFC = """CASE WHEN x = 0 THEN 1.0 WHEN x > 6 THEN 0.0 ELSE greatest(0.0, 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 160), lambda n: exp(2 * n * ln(2) + (2 * n + 1) * ln(x) - x * x - lgamma(2 * n + 2) + lgamma(n + 1))))) END"""
+
+
+@query(with_tables("expr genes", f"""SELECT species, gene, cluster, round(greatest(z, 0), 6) AS score, round(CASE WHEN z < 0 THEN 1.0 ELSE {ERFC} END, 6) AS pval FROM (SELECT *, abs(z) / sqrt(2) AS x FROM zs)
+ UNION ALL SELECT species, gene, cluster, 0.0, 1.0 FROM genes JOIN (SELECT species, cluster FROM pc GROUP BY ALL HAVING count(*) = 1) USING (species)""", **MARKERS))
 def marker_pvalues(spark: SparkSession, d: str) -> DataFrame:
-    """No erf in DuckDB: tests hold the p-values against the closed form."""
-    return marker_table(spark, d)
+    return marker_table(spark, d).select("species", "gene", "cluster", r("score").alias("score"), r("pval").alias("pval"))
 
 
-@query(with_tables("expr genes", "SELECT gene, arg_max(cluster, (z, cluster)) AS cluster, round(max(greatest(z, 0)), 6) AS score FROM zs GROUP BY gene", **MARKERS))
+@query(with_tables("expr genes", "SELECT gene, arg_max(cluster, (greatest(z, 0), cluster)) AS cluster FROM zs GROUP BY gene", **MARKERS))
 def marker_best_cluster(spark: SparkSession, d: str) -> DataFrame:
-    z = markers.marker_scores(domain.expr(spark, d), pooled(spark, d), domain.genes(spark, d))
-    return z.groupBy("gene").agg(F.max_by("cluster", F.struct("z", "cluster")).alias("cluster"), r(F.max(F.greatest("z", F.lit(0.0)))).alias("score"))
+    """No p-value is below 0, so each feature's best cluster is left."""
+    return triangles.cell_types(marker_table(spark, d), -1.0).withColumnRenamed("types", "cluster")
 
 
-# Clusters that the feature-pair queries take: all pairs of pooled clusters 0 of two segments.
+#: Clusters are mapped from this score on in the feature-pair queries.
+PAIR_SCORE = 0.0512345
 PAIRS = {
     "pc": POOLED,
     "stats": STATS,
     "cg": CUSTOMER_GRAPH,
-    "cl": "SELECT DISTINCT a.cluster AS c1, b.cluster AS c2, a.species AS s1, b.species AS s2 FROM pc a, pc b WHERE a.species < b.species AND split_part(a.cluster,'_',2) = '0' AND split_part(b.cluster,'_',2) = '0'",
+    "dir": "SELECT a.cluster AS c1, b.cluster AS c2, a.species AS s1, b.species AS s2, sum(weight) / any_value(m) AS score FROM cg JOIN pc a ON src = a.cell JOIN pc b ON dst = b.cell JOIN (SELECT cluster, count(*) AS m FROM pc GROUP BY ALL) z ON z.cluster = a.cluster WHERE a.species <> b.species GROUP BY ALL",
+    "cl": f"SELECT c1, c2, s1, s2 FROM (SELECT * FROM dir UNION ALL SELECT c2, c1, s2, s1, score FROM dir) WHERE s1 < s2 GROUP BY ALL HAVING max(score) >= {PAIR_SCORE}",
     "sdz": "SELECT e.cell, e.gene, (value - mean) / sd AS value FROM expr e JOIN stats s ON s.species = e.species AND s.gene = e.gene WHERE value > mean",
     "bo": "SELECT a.species AS s1, a.cluster AS c1, src, b.species AS s2, b.cluster AS c2, dst FROM (SELECT src, dst FROM cg UNION SELECT dst, src FROM cg) JOIN pc a ON src = a.cell JOIN pc b ON dst = b.cell WHERE a.species < b.species",
     "lk": "SELECT DISTINCT c1, c2, src AS cell, 1 AS side FROM bo UNION SELECT DISTINCT c1, c2, dst, 2 FROM bo",
@@ -81,31 +87,28 @@ PAIRS = {
 }
 
 
-def pair_scores(spark: SparkSession, d: str) -> DataFrame:
-    cells = pooled(spark, d)
-    first = cells.filter(F.split_part("cluster", F.lit("_"), F.lit(2)) == "0").select("species", "cluster").distinct()
-    one, two = (first.select(F.col("cluster").alias(c), F.col("species").alias(s)) for c, s in (("c1", "s1"), ("c2", "s2")))
-    clusters = one.join(two, F.col("s1") < F.col("s2"))  # five clusters
-    return gene_pairs.pair_scores(clusters, domain.shared_homology(spark, d), customer_graph(spark, d), domain.expr(spark, d), cells, domain.genes(spark, d))
+def finder(spark: SparkSession, d: str) -> gene_pairs.GenePairFinder:
+    cells, edges = pooled(spark, d), customer_graph(spark, d)
+    return gene_pairs.GenePairFinder(edges, domain.shared_homology(spark, d), domain.expr(spark, d), cells, domain.genes(spark, d), scores.mapping_scores(edges, cells))
 
 
 @query(with_tables("expr genes homology", "SELECT c1, c2, g1, g2, round(score, 6) AS score FROM ps", **PAIRS))
 def linked_gene_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return pair_scores(spark, d).withColumn("score", r("score"))
+    """All homologous pairs of all mapped pairs of clusters."""
+    return finder(spark, d).pair_scores(PAIR_SCORE).withColumn("score", r("score"))
 
 
 FOUND = {
     **PAIRS,
     **{k: v for k, v in MARKERS.items() if k != "pc"},
-    "best20": "SELECT *, row_number() OVER (PARTITION BY c1, c2 ORDER BY round(score, 9) DESC, g1, g2) AS rank FROM ps",
-    "found": "SELECT c1, c2, g1 || ';' || g2 AS pair, g1, g2, rank, score FROM best20 JOIN zs a ON a.cluster = c1 AND a.gene = g1 JOIN zs b ON b.cluster = c2 AND b.gene = g2 WHERE rank <= 50 AND a.z > 0.6744897501960817 AND b.z > 0.6744897501960817",
+    "best": "SELECT *, row_number() OVER (PARTITION BY c1, c2 ORDER BY round(score, 12) DESC, g1, g2) AS rank FROM ps",
+    "found": "SELECT c1, c2, g1 || ';' || g2 AS pair, g1, g2, rank, score FROM best JOIN zs a ON a.cluster = c1 AND a.gene = g1 JOIN zs b ON b.cluster = c2 AND b.gene = g2 WHERE rank <= 1000 AND a.z > 0.6744897501960817 AND b.z > 0.6744897501960817",
 }
 
 
 def found(spark: SparkSession, d: str) -> DataFrame:
-    """The 50 best pairs whose features are markers at p < 0.5 (z over 0.6745)."""
-    scores = pair_scores(spark, d).withColumn("score", r("score", 9))
-    return gene_pairs.find_genes(scores, marker_table(spark, d).select("gene", "cluster", "pval"), 50, 0.5)
+    """The best pairs (1,000, the default) whose features are markers at p < 0.5 (z over 0.6745), of all mapped pairs of clusters."""
+    return finder(spark, d).find_all(align_thr=PAIR_SCORE, thr=0.5)
 
 
 @query(with_tables("expr genes homology", "SELECT c1, c2, pair, rank, round(score, 6) AS score FROM found", **FOUND))
@@ -125,40 +128,53 @@ ENRICHED = """SELECT node, term, b, least(sum(exp(lgamma(m+1)-lgamma(x+1)-lgamma
  WHERE n - x <= nn - m GROUP BY ALL"""
 
 
-@query(with_tables("", "SELECT node, term, b AS n_overlap, round(p, 6) AS p, round(p * count(*) OVER (PARTITION BY node) / row_number() OVER (PARTITION BY node ORDER BY round(p, 9), term), 6) AS q, genes FROM en",
-    gs="SELECT DISTINCT source AS term, doc_id::VARCHAR AS gene FROM documents UNION SELECT 'lang_' || lang, doc_id::VARCHAR FROM documents", tg="SELECT DISTINCT 'q' || quality AS node, doc_id::VARCHAR AS gene FROM labels", en=ENRICHED))
+#: q by rank of p among a node's terms; p that differ by rounding alone are ties, which go by term.
+RATED = "SELECT *, p * count(*) OVER (PARTITION BY node) / row_number() OVER (PARTITION BY node ORDER BY round(ln(greatest(p, 1e-300)), 9), term) AS q, row_number() OVER (PARTITION BY node ORDER BY round(ln(greatest(p, 1e-300)), 9), term) AS rank FROM en"
+
+
+@query(with_tables("", "SELECT node, term, b AS n_overlap, round(p, 6) AS p, round(q, 6) AS q, rank, genes FROM rt",
+    gs="SELECT DISTINCT source AS term, doc_id::VARCHAR AS gene FROM documents UNION SELECT 'lang_' || lang, doc_id::VARCHAR FROM documents", tg="SELECT DISTINCT 'q' || quality AS node, doc_id::VARCHAR AS gene FROM labels", en=ENRICHED, rt=RATED))
 def go_enrichment(spark: SparkSession, d: str) -> DataFrame:
     """Terms are sources and languages, genes are documents, targets those of each quality; no thresholds."""
     docs = table(spark, d, "documents").select("source", "lang", F.col("doc_id").cast("string").alias("gene"))
     sets = docs.select(F.col("source").alias("term"), "gene").unionByName(docs.select(F.concat(F.lit("lang_"), "lang").alias("term"), "gene"))
     targets = table(spark, d, "labels").select(F.concat(F.lit("q"), F.col("quality").cast("string")).alias("node"), F.col("doc_id").cast("string").alias("gene"))
-    rows = enrichment.tested(targets, sets).withColumn("p", r("p", 9))
-    from pyspark.sql import Window
+    rows = enrichment.go_enrichment(targets, sets, None, None)
+    return rows.select("node", "term", "n_overlap", r("p").alias("p"), r("q").alias("q"), F.col("rank").cast("long").alias("rank"), "genes")
 
-    by = Window.partitionBy("node")
-    return rows.select("node", "term", "n_overlap", r("p").alias("p"), r(F.col("p") * F.count(F.lit(1)).over(by) / F.row_number().over(by.orderBy("p", "term"))).alias("q"), "genes")
 
-
-@query(with_tables("", "SELECT node, term, b AS n_overlap, round(p, 6) AS p FROM (SELECT *, round(p, 9) * count(*) OVER (PARTITION BY node) / row_number() OVER (PARTITION BY node ORDER BY round(p, 9), term) AS q FROM en) WHERE q < 0.9 AND p < 0.3",
-    gs="SELECT DISTINCT 'src' || (l_suppkey % 40) AS term, (l_partkey % 300)::VARCHAR AS gene FROM lineitem WHERE l_quantity > 45", tg="SELECT DISTINCT 'n' || (l_suppkey % 5) AS node, (l_partkey % 300)::VARCHAR AS gene FROM lineitem WHERE l_discount > 0.095 AND l_quantity > 40 AND l_tax > 0.05", en=ENRICHED))
+@query(with_tables("", "SELECT node, term, b AS n_overlap, round(p, 6) AS p, rank FROM rt WHERE q < 0.9 AND p < 0.3", gs="SELECT DISTINCT 'su_' || l_suppkey AS term, l_partkey::VARCHAR AS gene FROM lineitem",
+    tg="SELECT DISTINCT 'n_' || c_nationkey AS node, l_partkey::VARCHAR AS gene FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey", en=ENRICHED, rt=RATED))
 def go_enrichment_filtered(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem").withColumn("gene", (F.col("l_partkey") % 300).cast("string"))
-    sets = lines.filter("l_quantity > 45").select(F.concat(F.lit("src"), (F.col("l_suppkey") % 40).cast("string")).alias("term"), "gene")
-    targets = lines.filter("l_discount > 0.095 AND l_quantity > 40 AND l_tax > 0.05").select(F.concat(F.lit("n"), (F.col("l_suppkey") % 5).cast("string")).alias("node"), "gene")
-    return enrichment.go_enrichment(targets, sets, 0.9, 0.3).select("node", "term", "n_overlap", r("p").alias("p"))
+    """Terms are suppliers, genes are parts, targets what each nation bought."""
+    lines, orders, customers = table(spark, d, "lineitem"), table(spark, d, "orders"), table(spark, d, "customer")
+    gene = F.col("l_partkey").cast("string").alias("gene")
+    sets = lines.select(F.concat(F.lit("su_"), F.col("l_suppkey").cast("string")).alias("term"), gene)
+    bought = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    targets = bought.select(F.concat(F.lit("n_"), F.col("c_nationkey").cast("string")).alias("node"), gene)
+    rows = enrichment.go_enrichment(targets, sets, 0.9, 0.3)
+    return rows.select("node", "term", "n_overlap", r("p").alias("p"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(with_tables("expr genes homology", "SELECT node, term, round(-log10(p), 6) + 0.0 AS enrichment, b AS n_genes, genes FROM en WHERE term <> 'S'", **FOUND,
-    gs="SELECT DISTINCT upper(unnest(regexp_extract_all(p_type, '\\p{L}'))) AS term, species || '_' || (p_partkey % 100) AS gene FROM part, (SELECT DISTINCT species FROM cells) WHERE p_partkey % 3 > 0",
+    gs="SELECT DISTINCT upper(unnest(regexp_extract_all(p_type, '\\p{L}'))) AS term, species || '_' || (p_partkey % 100) AS gene FROM part, (SELECT DISTINCT species FROM cells)",
     tg="SELECT c1 AS node, g1 AS gene FROM found UNION SELECT c2, g2 FROM found", en=ENRICHED))
 def functional_enrichment(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "part").filter("p_partkey % 3 > 0")
+    parts = table(spark, d, "part")
     species = domain.customers(spark, d).select("species").distinct()
     packed = parts.select(F.upper("p_type").alias("packed"), (F.col("p_partkey") % 100).cast("string").alias("gene")).join(F.broadcast(species))  # five segments
     made = enrichment.FunctionalEnrichment(found(spark, d), enrichment.sets_from(packed)).calculate()
     return made.select("node", "term", r("enrichment").alias("enrichment"), "n_genes", "genes")
 
 
+@query(with_tables("genes", "SELECT species, gene, coalesce(packed, '') AS packed FROM genes LEFT JOIN (SELECT species, species || '_' || p_partkey AS gene, p_type AS packed FROM part, (SELECT DISTINCT species FROM cells) WHERE p_size > 5) USING (species, gene)"))
+def annotation_reindex(spark: SparkSession, d: str) -> DataFrame:
+    """Features of each segment with the type of the part of their number, empty where it has none (small parts aren't annotated)."""
+    species = domain.customers(spark, d).select("species").distinct()
+    known = table(spark, d, "part").filter("p_size > 5").select(F.col("p_partkey").cast("string").alias("gene"), F.col("p_type").alias("packed")).join(F.broadcast(species))  # five segments
+    return enrichment.annotated(domain.genes(spark, d), known)
+
+
 TRIANGLE = "SELECT e.c1 AS a, e.c2 AS b, f.c2 AS c, e.score AS w_ab, g.score AS w_ac, f.score AS w_bc FROM st e JOIN st f ON e.c2 = f.c1 JOIN st g ON g.c1 = e.c1 AND g.c2 = f.c2"
 
 
@@ -170,23 +186,23 @@ def cluster_triangles(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Three kinds of entities: parts, suppliers, customers; an edge's weight is the share of its largest price.
-KINDS = """SELECT 'pa_' || (l_partkey % 120) AS x, 'su_' || l_suppkey AS y, max(l_quantity) / 50 AS w FROM lineitem GROUP BY ALL
- UNION ALL SELECT 'cu_' || (o_custkey % 60), 'pa_' || (l_partkey % 120), max(l_quantity) / 50 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL
- UNION ALL SELECT 'cu_' || (o_custkey % 60), 'su_' || l_suppkey, max(l_quantity) / 50 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL"""
+KINDS = """SELECT 'pa_' || l_partkey AS x, 'su_' || l_suppkey AS y, max(l_quantity) / 50 AS w FROM lineitem GROUP BY ALL
+ UNION ALL SELECT 'cu_' || o_custkey, 'pa_' || l_partkey, max(l_quantity) / 50 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL
+ UNION ALL SELECT 'cu_' || o_custkey, 'su_' || l_suppkey, max(l_quantity) / 50 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL"""
 
 
 def kinds(spark: SparkSession, d: str) -> DataFrame:
     from crossweave.operators.homology import symmetric
 
-    lines = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 120).cast("string").alias("p"), F.col("l_suppkey").cast("string").alias("s"), (F.col("l_quantity") / 50).alias("q"))
-    full = lines.join(table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 60).cast("string").alias("c")), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_partkey").cast("string").alias("p"), F.col("l_suppkey").cast("string").alias("s"), (F.col("l_quantity") / 50).alias("q"))
+    full = lines.join(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("c")), F.col("l_orderkey") == F.col("o_orderkey"))
     part, supplier, customer = F.concat(F.lit("pa_"), "p"), F.concat(F.lit("su_"), "s"), F.concat(F.lit("cu_"), "c")
     edge = lambda df, x, y: df.groupBy(x.alias("g1"), y.alias("g2")).agg(F.max("q").alias("weight"))
     return symmetric(edge(lines, part, supplier).unionByName(edge(full, customer, part)).unionByName(edge(full, customer, supplier)))
 
 
 @query(with_tables("", """SELECT e.x AS a, f.x AS b, f.y AS c, round(e.w, 6) AS w_ab, round(g.w, 6) AS w_ac, round(f.w, 6) AS w_bc, round(least(e.w, f.w, g.w), 6) AS min_corr
- FROM k e JOIN k f ON e.y = f.x JOIN k g ON g.x = e.x AND g.y = f.y WHERE least(e.w, f.w, g.w) > 0.97 AND (split_part(e.x,'_',2)::INT + split_part(f.x,'_',2)::INT) % 3 = 0 AND (split_part(e.x,'_',2)::INT + split_part(f.y,'_',2)::INT) % 3 = 0 AND (split_part(f.x,'_',2)::INT + split_part(f.y,'_',2)::INT) % 3 = 0""", k=KINDS))
+ FROM ko e JOIN ko f ON e.y = f.x JOIN ko g ON g.x = e.x AND g.y = f.y""", k=KINDS, ko="SELECT * FROM k WHERE w > 0.97 AND (split_part(x,'_',2)::INT + split_part(y,'_',2)::INT) % 3 = 0"))
 def gene_triangles(spark: SparkSession, d: str) -> DataFrame:
     """Orthologs are edges whose numbers add up to a multiple of three."""
     edges = kinds(spark, d)
@@ -220,12 +236,13 @@ def paralog_substitutions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(with_tables("", """SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM (SELECT a AS x, b AS y FROM o UNION ALL SELECT p.b, q.b FROM (SELECT a, b FROM p UNION SELECT b, a FROM p) p JOIN (SELECT a, b FROM o UNION SELECT b, a FROM o) q ON p.a = q.a WHERE split_part(p.a,'_',1) = split_part(p.b,'_',1)) WHERE x <> y""",
-    o="SELECT DISTINCT 'pa_' || (l_partkey % 200) AS a, 'su_' || l_suppkey AS b FROM lineitem WHERE l_quantity > 48", p="SELECT DISTINCT 'pa_' || (l_partkey % 200) AS a, 'pa_' || (l_partkey * 7 % 200) AS b FROM lineitem WHERE l_quantity > 49"))
+    o="SELECT DISTINCT 'pa_' || l_partkey AS a, 'su_' || l_suppkey AS b FROM lineitem", p="SELECT 'pa_' || p_partkey AS a, 'pa_' || (p_partkey * 7 % (SELECT count(*) FROM part)) AS b FROM part"))
 def paralog_closure(spark: SparkSession, d: str) -> DataFrame:
-    lines = table(spark, d, "lineitem")
-    part = F.concat(F.lit("pa_"), (F.col("l_partkey") % 200).cast("string"))
-    orthologs = lines.filter("l_quantity > 48").select(part.alias("a"), F.concat(F.lit("su_"), F.col("l_suppkey").cast("string")).alias("b"))
-    own = lines.filter("l_quantity > 49").select(part.alias("a"), F.concat(F.lit("pa_"), (F.col("l_partkey") * 7 % 200).cast("string")).alias("b"))
+    name = lambda kind, column: F.concat(F.lit(f"{kind}_"), column.cast("string"))
+    orthologs = table(spark, d, "lineitem").select(name("pa", F.col("l_partkey")).alias("a"), name("su", F.col("l_suppkey")).alias("b"))
+    parts = table(spark, d, "part")
+    n = F.broadcast(parts.agg(F.count(F.lit(1)).alias("n")))  # one row
+    own = parts.join(n).select(name("pa", F.col("p_partkey")).alias("a"), name("pa", F.col("p_partkey") * 7 % F.col("n")).alias("b"))
     return paralogs.propagated(orthologs, own)
 
 

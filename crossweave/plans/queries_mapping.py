@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from crossweave.operators import knn, linalg, refine, scores, stitch
 from crossweave.plans import domain
 from crossweave.plans.catalogue import query
 from crossweave.plans.domain import latent_sql, table, with_tables
+from crossweave.plans.queries_base import SCALED, STATS
 from crossweave.plans.session import Mapping
 
 K = 10
@@ -21,11 +24,11 @@ def r(column, digits: int = 6):
 
 
 NEAR = f"""SELECT src, dst, dst_species, cos FROM (SELECT a.cell AS src, b.cell AS dst, b.species AS dst_species, list_cosine_similarity(a.vec, b.vec) AS cos FROM latent a JOIN latent b ON a.species <> b.species)
- QUALIFY row_number() OVER (PARTITION BY src, dst_species ORDER BY cos DESC, dst) <= {K}"""
+ QUALIFY row_number() OVER (PARTITION BY src, dst_species ORDER BY round(cos, 12) DESC, dst) <= {K}"""
 WEIGHTS = """SELECT src, dst, dst_species, s / sum(s) OVER (PARTITION BY src, dst_species) AS weight FROM (
  SELECT src, dst, dst_species, 0.7 + 0.3 * tanh(10 * (greatest(cos, 1e-3) / max(greatest(cos, 1e-3)) OVER (PARTITION BY src, dst_species) - 0.7)) AS s FROM near)"""
 INNER = f"""SELECT src, dst, round(cos, 6) AS weight FROM (SELECT a.cell AS src, b.cell AS dst, list_cosine_similarity(a.vec, b.vec) AS cos FROM latent a JOIN latent b ON a.species = b.species AND a.cell <> b.cell)
- QUALIFY row_number() OVER (PARTITION BY src ORDER BY cos DESC, dst) <= {OWN}"""
+ QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(cos, 12) DESC, dst) <= {OWN}"""
 
 
 def near(spark: SparkSession, d: str, datasets: int = 2) -> DataFrame:
@@ -45,6 +48,16 @@ def cosine_knn(spark: SparkSession, d: str) -> DataFrame:
     return near(spark, d).withColumn("cos", r("cos"))
 
 
+@query(with_tables("latent", "SELECT species, count(*) AS cells, true AS found FROM latent GROUP BY species"))
+def cosine_knn_approximate(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the approximate search, at its defaults, finds nine of ten of the exact neighbours of each dataset's cells."""
+    exact, some = near(spark, d), knn.approximate(domain.latent(spark, d), K)
+    hit = exact.join(some.select("src", "dst", F.lit(1).alias("hit")), ["src", "dst"], "left")
+    cells = domain.latent(spark, d).select(F.col("cell").alias("src"), "species")
+    recall = hit.join(cells, "src").groupBy("species").agg((F.sum("hit") / F.count(F.lit(1)) >= 0.9).alias("found"))
+    return cells.groupBy("species").agg(F.count(F.lit(1)).alias("cells")).join(recall, "species").select("species", "cells", "found")
+
+
 @query(with_tables("latent", "SELECT src, dst, dst_species, round(weight, 6) AS weight FROM knn", near=NEAR, knn=WEIGHTS))
 def knn_weights(spark: SparkSession, d: str) -> DataFrame:
     return weights(spark, d).withColumn("weight", r("weight"))
@@ -66,9 +79,10 @@ def topk_per_row(spark: SparkSession, d: str) -> DataFrame:
     return linalg.top_k(weights(spark, d).select("src", "dst", "weight"), 4, ["src"], "weight", ["dst"]).withColumn("weight", r("weight"))
 
 
-@query(with_tables("", "SELECT src, dst, dst_species, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY src, dst_species ORDER BY weight DESC, dst) AS k FROM knn) WHERE k <= 3", latent=latent_sql(3), near=NEAR, knn=WEIGHTS))
+@query(with_tables("", "SELECT src, dst, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY src, dst_species ORDER BY weight DESC, dst) AS k FROM knn) WHERE k <= 3", latent=latent_sql(3), near=NEAR, knn=WEIGHTS))
 def topk_per_species(spark: SparkSession, d: str) -> DataFrame:
-    return linalg.top_k(weights(spark, d, 3), 3, ["src", "dst_species"], "weight", ["dst"]).withColumn("weight", r("weight"))
+    """Of more than two datasets, the strongest edges to each."""
+    return stitch.strongest(weights(spark, d, 3).select("src", "dst", "weight"), domain.latent(spark, d, 3), 3).withColumn("weight", r("weight"))
 
 
 @query(with_tables("latent", "SELECT src, dst, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM knn) WHERE k <= src % 5", near=NEAR, knn=WEIGHTS))
@@ -85,7 +99,7 @@ RINGS = {
     "r1": "SELECT * FROM w1 WHERE (src, dst) NOT IN (SELECT (src, dst) FROM g)",
     "rings": "SELECT src, dst, 0 AS ring, weight FROM g UNION ALL SELECT src, dst, 1, weight FROM r1 UNION ALL SELECT src, dst, 2, weight FROM w2 WHERE (src, dst) NOT IN (SELECT (src, dst) FROM g) AND (src, dst) NOT IN (SELECT (src, dst) FROM r1)",
 }
-CAPPED = {**RINGS, "hood": "SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ring, weight DESC, dst) AS n FROM rings) JOIN (SELECT cell AS src, count(*) OVER (PARTITION BY species, cluster) AS k FROM latent) USING (src) WHERE n <= k"}
+CAPPED = {**RINGS, "hood": "SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ring, round(weight, 12) DESC, dst) AS n FROM rings) JOIN (SELECT cell AS src, count(*) OVER (PARTITION BY species, cluster) AS k FROM latent) USING (src) WHERE n <= k"}
 HOPS = 2
 
 
@@ -103,7 +117,7 @@ def neighborhood_capped(spark: SparkSession, d: str) -> DataFrame:
     return hood(spark, d)
 
 
-SENT = {**CAPPED, "near": NEAR, "knn": WEIGHTS, "sent": "SELECT k.src, h.src AS dst, sum(weight) AS weight FROM knn k JOIN hood h ON k.dst = h.dst GROUP BY ALL HAVING sum(weight) >= 0.1"}
+SENT = {**CAPPED, "near": NEAR, "knn": WEIGHTS, "sent": "SELECT k.src, h.src AS dst, sum(weight) AS weight FROM knn k JOIN hood h ON k.dst = h.dst GROUP BY ALL HAVING sum(weight) >= 0.1 - 1e-9"}
 MUTUAL = {**SENT, "mut": "SELECT a.src, a.dst, sqrt(a.weight * b.weight) AS weight FROM sent a JOIN sent b ON a.src = b.dst AND a.dst = b.src"}
 RESCALED = {
     **MUTUAL,
@@ -114,7 +128,7 @@ RESCALED = {
 }
 STITCHED = {
     **RESCALED,
-    "dk": f"SELECT src, dst, weight FROM resc QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) <= {K}",
+    "dk": f"SELECT src, dst, weight FROM resc QUALIFY row_number() OVER (PARTITION BY src ORDER BY round(weight, 12) DESC, dst) <= {K}",
     "nnm": f"SELECT src, dst, sum(weight) AS weight FROM (SELECT src, dst, weight FROM dk UNION ALL SELECT g.src, g.dst, 1 - coalesce(u, 0) / {K} FROM g LEFT JOIN (SELECT src, sum(weight) AS u FROM dk GROUP BY src) x ON g.src = x.src) GROUP BY ALL",
 }
 
@@ -261,7 +275,7 @@ def refined_homology_weighted(spark: SparkSession, d: str) -> DataFrame:
 
 XI = {
     **AVERAGED,
-    "pr": "SELECT g1, g2, s1, s2 FROM homology WHERE g1 < g2 AND weight = 1",
+    "pr": "SELECT g1, g2, s1, s2 FROM homology WHERE g1 < g2",
     "dense": "SELECT g1, g2, c.cell, round(coalesce(a.value, 0), 6) AS x, round(coalesce(b.value, 0), 6) AS y FROM pr JOIN cells c ON c.species IN (s1, s2) LEFT JOIN avgd a ON a.cell = c.cell AND a.gene = g1 LEFT JOIN avgd b ON b.cell = c.cell AND b.gene = g2",
     "rk": "SELECT *, count(*) OVER (PARTITION BY g1, g2 ORDER BY y) AS r, count(*) OVER (PARTITION BY g1, g2 ORDER BY y DESC) AS l, count(*) OVER (PARTITION BY g1, g2) AS n FROM dense",
 }
@@ -271,13 +285,61 @@ XI = {
  SELECT g1, g2, sum(step) AS a, 2 * sum(l * (n - l)) AS d, max(n) AS n FROM (SELECT *, abs(r - lag(r) OVER (PARTITION BY g1, g2 ORDER BY x, cell)) AS step FROM rk) GROUP BY g1, g2)""", **XI))
 def xi_pair_correlation(spark: SparkSession, d: str) -> DataFrame:
     """Values are rounded, so that equal ones tie in any order of summation."""
-    pairs = domain.shared_homology(spark, d).filter("g1 < g2 AND weight = 1")
+    pairs = domain.shared_homology(spark, d).filter("g1 < g2")
     return refine.xi_pairs(pairs, averaged(spark, d).withColumn("value", r("value")), domain.customers(spark, d)).select("g1", "g2", r("corr").alias("corr"))
 
 
-@query(None)
+def _renamed(sql: str, **names: str) -> str:
+    """The SQL with other table names."""
+    for old, new in names.items():
+        sql = re.sub(rf"\b{old}\b", new, sql)
+    return sql
+
+
+def _pass_sql(p: int, edges: str) -> dict[str, str]:
+    """One pass of the loop: from ``edges`` to the strongest edges, the graph and the refined homology."""
+    latent = f"lt{p}"
+    names = {"latent": latent, "near": f"nr{p}", "knn": f"kn{p}", "sent": f"se{p}", "mut": f"mu{p}", "cor": f"co{p}", "f": f"ff{p}", "resc": f"re{p}"}
+    across = {n: _renamed(sql, **names) for n, sql in {"near": NEAR, "knn": WEIGHTS, **{n: sql for n, sql in RESCALED.items() if n not in CAPPED}}.items()}
+    return {
+        f"hw{p}": f"""SELECT g1, g2, s1, s2, 0.5 + 0.5 * tanh(10 * (w - 0.5)) AS weight FROM (SELECT *, weight / CASE WHEN max(weight) OVER (PARTITION BY g1) <= 0 THEN 1 ELSE max(weight) OVER (PARTITION BY g1) END AS w FROM {edges})
+ WHERE w <> 0 AND g1 IN (SELECT gene FROM genes WHERE weight > 0) AND g2 IN (SELECT gene FROM genes WHERE weight > 0)""",
+        f"tr{p}": f"SELECT e.species, cell, g2 AS gene, sum(value * weight) AS value FROM sc e JOIN hw{p} ON gene = g1 WHERE s1 <> s2 GROUP BY ALL",
+        f"ts{p}": f"SELECT species, gene, CASE WHEN q / n - (s / n) * (s / n) <= 0 THEN 1.0 ELSE sqrt(q / n - (s / n) * (s / n)) END AS sd FROM (SELECT species, gene, sum(value) AS s, sum(value * value) AS q FROM tr{p} GROUP BY ALL) JOIN size USING (species)",
+        f"pj{p}": f"SELECT species, cell, pc, sum(x.value * ld.value) AS v FROM (SELECT * FROM sc UNION ALL SELECT e.species, cell, e.gene, value * (weight / sd) FROM tr{p} e JOIN ts{p} USING (species, gene) JOIN genes g ON g.gene = e.gene WHERE weight <> 0) x JOIN ld USING (gene) GROUP BY ALL",
+        f"ct{p}": f"SELECT c.species, c.cell, cluster, m.pc, coalesce(v, 0) - mean AS v FROM cc c JOIN (SELECT species, pc, sum(v) / n AS mean FROM pj{p} JOIN size USING (species) GROUP BY species, pc, n) m USING (species) LEFT JOIN pj{p} p ON p.cell = c.cell AND p.pc = m.pc",
+        latent: f"SELECT species, cell, cluster, list(v ORDER BY pc) AS vec FROM ct{p} GROUP BY ALL",
+        **{names[n]: sql for n, sql in across.items()},
+        f"dk{p}": f"SELECT src, dst, weight FROM re{p} JOIN cc ON dst = cell QUALIFY row_number() OVER (PARTITION BY src, species ORDER BY round(weight, 12) DESC, dst) <= {K}",
+        f"nn{p}": f"SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM dk{p} UNION ALL SELECT g.src, g.dst, 1 - coalesce(u, 0) / ({K} * (SELECT count(*) - 1 FROM size)) FROM g LEFT JOIN (SELECT src, sum(weight) AS u FROM dk{p} GROUP BY src) x ON g.src = x.src) WHERE src <> dst GROUP BY ALL",
+        f"ed{p}": f"SELECT src, dst, weight, species FROM nn{p} JOIN cc ON dst = cell",
+        f"av{p}": f"SELECT cell, species, gene, s / CASE WHEN t < 1e-3 THEN 1.0 ELSE t END AS value FROM (SELECT src AS cell, e.species, gene, sum(weight * value) AS s FROM ed{p} e JOIN ee ON dst = ee.cell GROUP BY ALL) JOIN (SELECT src AS cell, species, sum(weight) AS t FROM ed{p} GROUP BY ALL) USING (cell, species)",
+        f"cr{p}": f"SELECT g1, g2, s1, s2, CASE WHEN var_pop(x) > 1e-13 AND var_pop(y) > 1e-13 THEN greatest(corr(x, y), 0) ELSE 0 END AS weight FROM (SELECT g1, g2, s1, s2, coalesce(a.value, 0) AS x, coalesce(b.value, 0) AS y FROM hp JOIN cc c ON c.species IN (s1, s2) LEFT JOIN av{p} a ON a.cell = c.cell AND a.gene = g1 LEFT JOIN av{p} b ON b.cell = c.cell AND b.gene = g2 WHERE g1 < g2 AND g1 IN (SELECT gene FROM genes WHERE weight > 0) AND g2 IN (SELECT gene FROM genes WHERE weight > 0)) GROUP BY ALL",
+        f"rf{p}": f"SELECT * FROM cr{p} WHERE weight <> 0 UNION ALL SELECT g2, g1, s2, s1, weight FROM cr{p} WHERE weight <> 0",
+    }
+
+
+SESSION = {
+    "cc": "SELECT species, cell::VARCHAR AS cell, cluster FROM cells",
+    "ee": "SELECT species, cell::VARCHAR AS cell, gene, value FROM expr",
+    "size": "SELECT species, count(*) AS n FROM cc GROUP BY species",
+    "hp": "SELECT g1, g2, s1, s2, weight FROM (SELECT *, max(weight) OVER (PARTITION BY g1) AS m1, max(weight) OVER (PARTITION BY g2) AS m2 FROM homology) WHERE weight >= 0.25 * m1 OR weight >= 0.25 * m2",
+    "stats": STATS,
+    "sc": _renamed(SCALED, expr="ee"),
+    "ld": "SELECT gene, pc + (SELECT max(pc) + 1 FROM loadings) * (SELECT count(*) FROM size WHERE species < split_part(gene, '_', 1)) AS pc, value FROM loadings",
+    "cg": CUSTOMER_GRAPH,
+    "g": "SELECT src::VARCHAR AS src, dst::VARCHAR AS dst, weight FROM cg JOIN cells a ON src = a.cell JOIN cells b ON dst = b.cell WHERE a.species = b.species",
+    **{n: _renamed(sql, latent="cc") for n, sql in CAPPED.items() if n != "g"},
+    **{n: sql for n, sql in _pass_sql(1, "hp").items()},
+    **{n: sql for n, sql in _pass_sql(2, "rf1").items() if n[:2] not in ("nn", "ed", "av", "cr", "rf")},
+    "dir": f"SELECT c1, c2, sum(w) / n / {K} AS score FROM (SELECT a.species || '_' || a.cluster AS c1, b.species || '_' || b.cluster AS c2, weight AS w FROM dk2 JOIN cc a ON src = a.cell JOIN cc b ON dst = b.cell WHERE a.species <> b.species) JOIN (SELECT species || '_' || cluster AS c1, count(*) AS n FROM cc GROUP BY ALL) USING (c1) GROUP BY c1, c2, n",
+    "lab": "SELECT DISTINCT species || '_' || cluster AS c FROM cc",
+}
+
+
+@query(with_tables("expr genes homology loadings", "SELECT a.c AS c1, b.c AS c2, round(coalesce(score, 0.0), 6) AS score FROM lab a CROSS JOIN lab b LEFT JOIN (SELECT c1, c2, max(score) AS score FROM (SELECT * FROM dir UNION ALL SELECT c2, c1, score FROM dir) GROUP BY ALL) s ON s.c1 = a.c AND s.c2 = b.c", **SESSION))
 def mapping_session(spark: SparkSession, d: str) -> DataFrame:
-    """The whole loop, two passes with a refinement between: scores of the stitched graph. Tests hold it against dense arrays."""
+    """The whole loop, two passes with a refinement between: scores of the stitched graph."""
     expr, cells, genes = domain.expr(spark, d), domain.customers(spark, d), domain.genes(spark, d)
     loadings = domain.loadings(spark, d).withColumn("species", F.split_part("gene", F.lit("_"), F.lit(1)))
     cells = cells.withColumn("cell", F.col("cell").cast("string"))

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from crossweave import constants
 from crossweave.exceptions import DataError, MappingError, SpeciesNotFoundError
 from crossweave.functions.numeric import tanh_scale
+from crossweave.functions.text import qualify
 from crossweave.log import get_logger
-from crossweave.operators import expression, homology, knn, refine, scores, stitch
+from crossweave.operators import expression, homology, knn, paralogs, refine, scores, stitch, triangles
+from crossweave.operators.enrichment import FunctionalEnrichment, sets_from
 from crossweave.operators.gene_pairs import GenePairFinder
 from crossweave.sources import hits, store
 from crossweave.sources.checkpoint import cut
@@ -54,6 +56,8 @@ class Mapping:
         if edges is None and hit_folder is not None:
             edges = hits.read_homology(self.spark, hit_folder, self.species, evalue)
         if edges is not None:
+            # The graph's features have their dataset's id before their names; without a graph, equal names are shared features.
+            self.expr, self.genes, self.loadings = (t.withColumn("gene", qualify(F.col("gene"), F.col("species"))) for t in (self.expr, self.genes, self.loadings))
             edges = checked(edges, "homology")
             if names is not None:
                 edges = homology.coarsen(edges, checked(names, "names"))
@@ -90,24 +94,29 @@ class Mapping:
         cocluster: set[str] | frozenset[str] = frozenset(),
         pairwise: bool = True,
         by_weight: bool = False,
+        search: str = "exact",
         near: DataFrame | None = None,
         latent: DataFrame | None = None,
     ) -> "Mapping":
         """Translate, project, find neighbours, stitch; between passes, re-weight homology from its first form.
 
+        ``search`` is exact (all pairs of cells) or approximate (cells near the same centres, ``knn.approximate``).
         With ``near(src, dst, dst_species, weight)`` and ``latent(cell, species, vec)`` the projection of every pass is taken from there."""
         if k < 1 or iterations < 1:
             raise ValueError("k and iterations are 1 or more")
         unknown = set(cocluster) - set(self.species)
         if unknown:
             raise SpeciesNotFoundError(", ".join(sorted(unknown)))
+        if search not in ("exact", "approximate"):
+            raise ValueError(f"search is exact or approximate, not {search}")
+        find = knn.nearest if search == "exact" else knn.approximate
         self.k = k
         if (near is None) != (latent is None):
             raise ValueError("near and latent come together")
         around = self._neighbourhoods(hops, set(cocluster))
         for i in range(iterations):
             self.latent = cut(self._joint()) if latent is None else latent
-            self.knn = cut(knn.weights(knn.nearest(self.latent, k))) if near is None else near
+            self.knn = cut(knn.weights(find(self.latent, k))) if near is None else near
             sent = self._sent(around, set(cocluster))
             similar = stitch.mutual(sent)
             if scale_edges_by_corr:
@@ -169,17 +178,36 @@ class Mapping:
         return cells.withColumn("cluster", F.concat("species", F.lit("_"), "cluster"))
 
     def pair_finder(self) -> GenePairFinder:
-        return GenePairFinder(self._need("edges"), self._need("refined"), self.expr, self._qualified(self.cells), self.genes, self.mapping_scores())
+        return GenePairFinder(self._need("edges"), self._need("refined"), self.expr, self._qualified(self.cells), self.genes, self.mapping_scores(), self.k)
+
+    def substitutions(self, orthologs: DataFrame, paralogs_: DataFrame | None = None, threshold: float = constants.SUBSTITUTION_THRESHOLD) -> DataFrame:
+        """Paralogs that correlate better than the orthologs they could stand for, the largest difference first."""
+        rows = paralogs.substitutions(self._need("refined"), orthologs, paralogs_, self.homology, threshold)
+        return rows.orderBy(F.desc("corr_diff"), "ortholog_pair", "paralog_pair")
+
+    def cluster_triangles(self, threshold: float = constants.ALIGNMENT_THRESHOLD) -> DataFrame:
+        return triangles.cluster_triangles(self.mapping_scores(), self._qualified(self.cells), threshold)
+
+    def gene_triangles(self, orthologs: DataFrame, threshold: float = constants.CORRELATION_THRESHOLD, p_threshold: float = constants.TRIANGLE_P_THRESHOLD) -> DataFrame:
+        """Orthologous triangles with the clusters that their features mark, the best least correlation first."""
+        rows = triangles.gene_triangles(self._need("refined"), orthologs, threshold, self.pair_finder().markers, p_threshold)
+        return rows.orderBy(F.desc("min_corr"), "a", "b", "c")
+
+    def enrichment(self, annotations: DataFrame, delimiter: str = "", align_thr: float = 0.1, thr: float = constants.PAIR_P_THRESHOLD, n_top: int = 0) -> FunctionalEnrichment:
+        """Enrichment of the linked features of all mapped clusters."""
+        return FunctionalEnrichment(self.pair_finder().find_all(align_thr=align_thr, thr=thr, n_top=n_top), sets_from(checked(annotations, "annotations"), delimiter))
 
     def save(self, folder: str) -> None:
         tables = {n: getattr(self, n) for n in ("expr", "cells", "genes", "cell_graph", "loadings", "homology", "refined", "knn", "latent", "edges", "graph")}
-        store.save(self.spark, {n: t for n, t in tables.items() if t is not None}, folder)
+        tables |= {f"history_{i}": t for i, t in enumerate(self.history)}
+        store.save(self.spark, {n: t for n, t in tables.items() if t is not None}, folder, {"k": self.k})
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> "Mapping":
         tables = store.load(spark, folder)
         made = cls.__new__(cls)
-        made.spark, made.history, made.k = spark, [], constants.NEIGHBOURS
+        made.spark, made.k = spark, store.load_settings(spark, folder).get("k", constants.NEIGHBOURS)
+        made.history = [tables[f"history_{i}"] for i in range(sum(n.startswith("history_") for n in tables))]
         for name in ("expr", "cells", "genes", "cell_graph", "loadings", "homology", "refined", "knn", "latent", "edges", "graph"):
             setattr(made, name, tables.get(name))
         made.species = sorted(r["species"] for r in made.cells.select("species").distinct().collect())

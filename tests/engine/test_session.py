@@ -141,7 +141,8 @@ def test_loop_against_numpy(world, mapped):
 def test_given_neighbours(world, mapped):
     m = Mapping(world["expr"], world["cells"], world["genes"], world["graph"], world["loadings"], edges=world["homology"], prune_share=0.0)
     m.run(iterations=1, hops=HOPS, k=K, near=mapped.knn, latent=mapped.latent)
-    assert {tuple(r) for r in m.edges.collect()} == {tuple(r) for r in mapped.edges.collect()}
+    got, want = ({(r["src"], r["dst"]): r["weight"] for r in x.edges.collect()} for x in (m, mapped))
+    assert got.keys() == want.keys() and all(math.isclose(got[e], want[e], abs_tol=1e-9) for e in want)
     with pytest.raises(ValueError):
         m.run(near=mapped.knn)
 
@@ -174,7 +175,10 @@ def test_queries_of_a_mapping(mapped, world, tmp_path, spark):
     folder = str(tmp_path / "session")
     mapped.save(folder)
     again = Mapping.load(spark, folder)
-    assert again.graph.exceptAll(mapped.graph).count() == 0 and again.mapping_scores().count() == 36
+    assert again.graph.exceptAll(mapped.graph).count() == 0 and again.k == mapped.k == K and len(again.history) == len(mapped.history) == 1
+    before, after = ({(r["c1"], r["c2"]): r["score"] for r in x.mapping_scores().collect()} for x in (mapped, again))
+    assert before.keys() == after.keys() and all(math.isclose(before[c], after[c], abs_tol=1e-12) for c in before)
+    assert again.alignment().exceptAll(mapped.alignment()).filter("weight > 1").count() == 0
     assert set(store.load(spark, folder)) >= {"expr", "cells", "refined"}
 
 
@@ -245,8 +249,17 @@ def test_tiles_give_the_same_neighbours(spark):
     whole, tiled = (sorted((r["src"], r["dst"], round(r["cos"], 9)) for r in knn.nearest(latent, 5, tile=t).collect()) for t in (4096, 20))
     assert whole == tiled and len(whole) == 90 * 2 * 5
     exact = {(s, d) for s, d, _ in whole}
-    near = {(r["src"], r["dst"]) for r in knn.candidates(latent, 5, bucket=1.0, tables=12).collect()}
-    assert len(exact & near) > 0.9 * len(exact)
+    near = {(r["src"], r["dst"]) for r in knn.approximate(latent, 5, tile=7).collect()}
+    assert len(exact & near) > 0.9 * len(exact) and len(near) <= len(exact)
+    assert {(r["src"], r["dst"]) for r in knn.approximate(latent, 5, recall=1.0, most=1).collect()} == exact
+    assert knn.approximate(latent.limit(0), 5).count() == 0
+
+
+def test_recall_of_the_approximate_search(spark):
+    """At its defaults, on real vectors."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("cell"), F.concat(F.lit("s"), (F.col("vec_id") % 2).cast("string")).alias("species"), F.col("embedding").cast("array<double>").alias("vec"))
+    exact, near = ({(r["src"], r["dst"]) for r in search(rows, 20).collect()} for search in (knn.nearest, knn.approximate))
+    assert len(exact & near) >= 0.9 * len(exact)
 
 
 def test_hit_files(spark, tmp_path):
@@ -303,3 +316,83 @@ def test_stitching_keeps_unlinked_cells(spark):
     graph = spark.createDataFrame([("1", "3", 0.5)], "src string, dst string, weight double")
     across = spark.createDataFrame([], "src string, dst string, weight double")
     assert [tuple(r) for r in stitch.stitched(across, graph, cells, 5).collect()] == [("1", "3", 1.0)]
+
+
+def test_entry_points_of_a_mapping(mapped, world, spark):
+    orthologs = spark.createDataFrame([(f"hu_g{i:02d}", f"ms_g{i:02d}") for i in range(G)], "a string, b string")
+    rows = mapped.substitutions(orthologs, threshold=-2.0).collect()
+    assert rows and [r["corr_diff"] for r in rows] == sorted((r["corr_diff"] for r in rows), reverse=True)
+    assert mapped.cluster_triangles(0.0).count() == 0 and mapped.gene_triangles(orthologs).count() == 0  # two datasets
+    finder = mapped.pair_finder()
+    assert finder.find_all(align_thr=0.0, thr=1.1, n_top=2).count() > 0
+    strict, lax = (finder.find_all(align_thr=0.3, thr=1.1, n_top=n).select("c1", "c2").distinct().count() for n in (0, 1))
+    assert strict <= lax  # the best cell alone maps a cluster better than all of them
+    notes = spark.createDataFrame([(s, f"g{j:02d}", "AB"[j % 2] + "C") for s in SPECIES for j in range(G) if j % 5], "species string, gene string, packed string")
+    made = mapped.enrichment(notes, align_thr=0.0, thr=1.1)
+    assert {r["term"] for r in made.calculate().select("term").distinct().collect()} == {"A", "B", "C"}
+    shown = made.plot_data(least=0.0).collect()
+    assert len(shown) == len({r["node"] for r in shown}) * 3 and {r["term_at"] for r in shown} == {0, 1, 2}
+    assert made.plot_data(nodes=["hu_0"], least=99.0).filter("enrichment <> 0 OR genes <> ''").count() == 0
+
+
+def test_names_without_prefixes(world, mapped):
+    bare = lambda df: df.withColumn("gene", F.split_part("gene", F.lit("_"), F.lit(2)))
+    m = Mapping(bare(world["expr"]), world["cells"], bare(world["genes"]), world["graph"], bare(world["loadings"]), edges=world["homology"], prune_share=0.0)
+    assert m.homology.count() == mapped.homology.count() > 0
+    m.run(iterations=1, hops=1, k=K, search="approximate")
+    assert m.edges.count() > 0
+    with pytest.raises(ValueError):
+        m.run(search="quick")
+
+
+def test_annotations_of_all_features(spark):
+    from crossweave.operators.enrichment import annotated
+
+    genes = spark.createDataFrame([("hu", "hu_a"), ("hu", "hu_b"), ("ms", "ms_a")], "species string, gene string")
+    notes = spark.createDataFrame([("hu", "a", "XY"), ("ms", "ms_z", "Q"), ("hu", "hu_b", None)], "species string, gene string, packed string")
+    assert {tuple(r) for r in annotated(genes, notes).collect()} == {("hu", "hu_a", "XY"), ("hu", "hu_b", ""), ("ms", "ms_a", "")}
+
+
+def test_ward_order():
+    from crossweave.operators.enrichment import ward_order
+
+    x = np.array([[0.0], [10.0], [0.1], [10.3], [5.0]])
+    order = ward_order(x)
+    assert sorted(order) == list(range(5)) and abs(order.index(0) - order.index(2)) == 1 and abs(order.index(1) - order.index(3)) == 1
+    assert ward_order(np.zeros((0, 3))) == [] and ward_order(np.ones((1, 3))) == [0]
+    rng = np.random.default_rng(1)
+    y = rng.normal(size=(12, 4))
+    # Brute force: merge what adds least to the squared deviations, the older cluster first.
+    groups = [(i, [i]) for i in range(12)]
+    cost = lambda a, b: len(a) * len(b) / (len(a) + len(b)) * ((y[a].mean(0) - y[b].mean(0)) ** 2).sum()
+    made = 12
+    while len(groups) > 1:
+        a, b = min(((a, b) for i, a in enumerate(groups) for b in groups[i + 1 :]), key=lambda p: cost(p[0][1], p[1][1]))
+        a, b = sorted((a, b), key=lambda g: g[0])
+        groups = [g for g in groups if g not in (a, b)] + [(made, a[1] + b[1])]
+        made += 1
+    assert ward_order(y) == groups[0][1]
+
+
+def test_matrix_files(spark, tmp_path):
+    from crossweave.sources.matrix import read_matrix
+
+    (tmp_path / "features.tsv").write_text("A\tgene a\nhu_B\nC\n")
+    (tmp_path / "barcodes.tsv").write_text("c1\nc2\n")
+    (tmp_path / "matrix.mtx").write_text("%%MatrixMarket matrix coordinate real general\n% made by hand\n3 2 4\n1 1 2.5\n2 2 1\n2 2 3\n3 1 0\n")
+    got = read_matrix(spark, str(tmp_path), "hu")
+    assert {tuple(r) for r in got["expr"].collect()} == {("hu", "c1", "hu_A", 2.5), ("hu", "c2", "hu_B", 4.0)}
+    assert {r["cell"] for r in got["cells"].collect()} == {"c1", "c2"} and {r["gene"] for r in got["genes"].collect()} == {"hu_A", "hu_B", "hu_C"}
+    (tmp_path / "barcodes.tsv").write_text("c1\n")
+    with pytest.raises(exceptions.DataError):
+        read_matrix(spark, str(tmp_path), "hu")
+
+
+def test_triangles_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    pairs = {tuple(sorted(p)) for p in rng.integers(0, 14, (60, 2)).tolist() if p[0] != p[1]} | {(0, k) for k in range(1, 14)}
+    edges = {(f"n{a:02d}", f"n{b:02d}"): round(float(rng.random()), 6) for a, b in pairs}
+    got = {tuple(r) for r in triangles.triangles(spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "a string, b string, w double")).collect()}
+    names = sorted({x for e in edges for x in e})
+    want = {(a, b, c, edges[a, b], edges[a, c], edges[b, c]) for a in names for b in names for c in names if (a, b) in edges and (b, c) in edges and (a, c) in edges}
+    assert got == want and len(want) > 10
