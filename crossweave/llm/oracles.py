@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
-from crossweave.llm.license_scan import TEMPLATES
+from crossweave.llm.license_scan import TEMPLATES, THRESHOLD, anchors
 
 OP10 = r"""
 WITH d AS (
@@ -35,6 +35,8 @@ _LICENCES = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for n
 _GRAMS = "list_distinct(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))"
 _WORDS = r"string_split(trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')"
 
+_ANCHORS = ", ".join(f"('{name}', '{gram}', {before})" for name, gram, before in anchors(TEMPLATES, THRESHOLD))
+
 OP2 = rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 parts AS (
@@ -43,19 +45,24 @@ parts AS (
     UNION ALL SELECT r, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) FROM d
     UNION ALL SELECT r, text FROM d)),
 pw AS (SELECT r, part, {_WORDS.format("part")} AS w FROM parts),
-pg AS (SELECT r, part, {_GRAMS} AS g FROM pw WHERE len(w) BETWEEN 2 AND 400),
+pg AS (SELECT r, part, {_GRAMS} AS g FROM pw WHERE len(w) >= 2),
 tw AS (SELECT name, {_WORDS.format("body")} AS w FROM (VALUES {_LICENCES}) t(name, body)),
-tg AS (SELECT name, {_GRAMS} AS h FROM tw),
+tg AS (SELECT name, len(w) AS n_words, {_GRAMS} AS h FROM tw),
 pe AS (SELECT r, part, len(g) AS a, unnest(g) AS gram FROM pg),
 te AS (SELECT name, len(h) AS b, unnest(h) AS gram FROM tg),
 common AS (SELECT r, part, name, any_value(a) AS a, any_value(b) AS b, count(*) AS c FROM pe JOIN te USING (gram) GROUP BY r, part, name),
 found AS (SELECT r, part, name, 2.0::DOUBLE * c / (a + b) AS sim FROM common WHERE 2.0 * c / (a + b) >= 0.8 - 1e-9),
-best AS (
-  SELECT r, arg_min(name, (-sim, name)) AS license, round(max(sim), 6) AS similarity,
-         string_agg(DISTINCT name, ',' ORDER BY name) AS licenses, count(DISTINCT part) AS n_matches
-  FROM found GROUP BY r)
-SELECT doc_id, license, coalesce(similarity, 0.0)::DOUBLE AS similarity, licenses, coalesce(n_matches, 0)::BIGINT AS n_matches
-FROM d LEFT JOIN best USING (r)
+dw AS (SELECT r, {_WORDS.format("text")} AS w FROM d),
+de AS (SELECT r, i - 1 AS i, w[i] || ' ' || w[i + 1] AS gram FROM (SELECT r, w, unnest(range(1, len(w))) AS i FROM dw)),
+hits AS (SELECT DISTINCT r, name, greatest(i - before, 0) AS s FROM de JOIN (VALUES {_ANCHORS}) a(name, gram, before) USING (gram)),
+we AS (SELECT DISTINCT h.r, h.name, s, de.gram FROM hits h JOIN tg ON tg.name = h.name JOIN de ON de.r = h.r AND de.i >= s AND de.i < s + n_words - 1),
+wa AS (SELECT r, name, s, count(*) AS a FROM we GROUP BY ALL),
+wc AS (SELECT r, we.name, s, count(*) AS c, any_value(b) AS b FROM we JOIN te ON te.name = we.name AND te.gram = we.gram GROUP BY ALL),
+wins AS (SELECT r, name, s, 2.0::DOUBLE * c / (a + b) AS sim FROM wa JOIN wc USING (r, name, s) WHERE 2.0 * c / (a + b) >= 0.8 - 1e-9),
+every AS (SELECT r, name, sim FROM found UNION ALL SELECT r, name, sim FROM wins),
+best AS (SELECT r, arg_min(name, (-sim, name)) AS license, round(max(sim), 6) AS similarity, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM every GROUP BY r)
+SELECT doc_id, license, coalesce(similarity, 0.0)::DOUBLE AS similarity, licenses, coalesce(n_matches, 0)::BIGINT AS n_matches, coalesce(n_windows, 0)::BIGINT AS n_windows
+FROM d LEFT JOIN best USING (r) LEFT JOIN (SELECT r, count(DISTINCT part) AS n_matches FROM found GROUP BY r) USING (r) LEFT JOIN (SELECT r, count(*) AS n_windows FROM wins GROUP BY r) USING (r)
 """
 
 OP4 = r"""
