@@ -23,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
@@ -190,17 +190,21 @@ class BytePairEncoder:
 
     def _encode_plain(self, text: str) -> bytes:
         """A text is cut at single spaces before other characters, where the word pattern cuts it in any case."""
-        first, *rest = text.split(" ")
+        parts = text.split(" ")
         try:
-            return b"".join(chain((self.first[first],), map(self.rest.__getitem__, rest)))
+            return b"".join(chain((self.first[parts[0]],), map(self.rest.__getitem__, islice(parts, 1, None))))
         except _Irregular:
-            runs = [[first]]
-            for part in rest:  # runs of white space stay in one part
-                if not part or part[0].isspace():
-                    runs[-1].append(part)
-                else:
-                    runs.append([part])
-            return b"".join([self.first[" ".join(runs[0])], *(self.rest[" ".join(x)] for x in runs[1:])])
+            return b"".join(self._with_white_space(parts))
+
+    def _with_white_space(self, parts: list[str]) -> Iterator[bytes]:
+        """Encoded parts, where those that are empty or start with white space stay with the part before them."""
+        known, run = self.first, [parts[0]]
+        for part in islice(parts, 1, None):
+            if part and not part[0].isspace():
+                yield known[" ".join(run)]
+                known, run = self.rest, []
+            run.append(part)
+        yield known[" ".join(run)]
 
     def encode(self, text: str) -> bytes:
         """Token ids of a whole text, as little-endian unsigned 32-bit numbers."""
