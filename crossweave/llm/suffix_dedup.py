@@ -242,12 +242,17 @@ def _block(docs: list[tuple], buckets: int) -> Iterator[tuple[int, int, bytes]]:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with __key (the order of owners) and __slot, which tells apart the different texts of one key: 0 where it has one only."""
-    hashed = docs.withColumn("__key", F.coalesce(F.col("doc_id").try_cast("long"), F.lit(NO_ID)))
-    text = F.xxhash64(F.coalesce("text", F.lit("")))
-    shared = store(hashed.select("__key", text.alias("h")).groupBy("__key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("__key"))
+    keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id").try_cast("long"), F.lit(NO_ID)))
+    whole = keyed.withColumn("__slot", F.lit(0).cast("long"))
+    # Only a key of several rows can have several texts, so texts are read for this only where there is one.
+    repeated = store(keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("__key"))
+    if repeated.isEmpty():
+        return whole
+    hashed = keyed.withColumn("__h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    among = hashed.select("__key", "__h").join(repeated, "__key", "left_semi")
+    shared = store(among.groupBy("__key").agg(F.min("__h").alias("a"), F.max("__h").alias("b")).filter("a <> b").select("__key"))
     if shared.isEmpty():
-        return hashed.withColumn("__slot", F.lit(0).cast("long"))
-    hashed = hashed.withColumn("__h", text)
+        return whole
     # Read back before they are numbered, so that the numbers stay.
     pairs = store(hashed.join(shared, "__key", "left_semi").select("__key", "__h").distinct())
     slots = store(pairs.sparkSession.createDataFrame(pairs.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), "__key long, __h long, __slot long"))
