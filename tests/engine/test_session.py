@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crossweave import exceptions
-from crossweave.operators import gene_pairs, homology, knn, markers, refine, stitch, triangles
+from crossweave.operators import gene_pairs, homology, knn, markers, paralogs, refine, stitch, triangles
 from crossweave.plans.session import Mapping
 from crossweave.sources import hits, store
 from crossweave.sources.schema import checked
@@ -396,3 +396,17 @@ def test_triangles_against_brute_force(spark):
     names = sorted({x for e in edges for x in e})
     want = {(a, b, c, edges[a, b], edges[a, c], edges[b, c]) for a in names for b in names for c in names if (a, b) in edges and (b, c) in edges and (a, c) in edges}
     assert got == want and len(want) > 10
+
+
+def test_orthology_pairs_of_one_large_group_are_spread(spark):
+    """A group's pairs are made by several tasks, each pair once, also with several groups in common and names in several datasets."""
+    rows = [(f"s{i % 3}", f"s{i % 3}_{i}", f"A{i % 2}@1|root,B@1|root" + (",C@1|root" if i % 5 == 0 else "")) for i in range(120)] + [("s9", "s0_0", "B@1|root"), (None, "x", "B@1|root"), ("s1", None, "B@1|root")]
+    packed = spark.createDataFrame(rows, "species string, gene string, groups string")
+    known = [(s, g) for s, g, _ in rows if s and g]
+    want = sorted({(min(a, b), max(a, b)) for s, a in known for t, b in known if s != t and a != b})
+    for block in (7, 1024):
+        found = paralogs.orthology_pairs(packed, 1, block)
+        assert sorted(map(tuple, found.collect())) == want
+    parts = paralogs.orthology_pairs(spark.createDataFrame([r for r in rows[:120]], packed.schema), 1, 7)
+    sizes = [n for n in parts.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]
+    assert len(sizes) > 8 and max(sizes) < len(want) / 4
