@@ -23,7 +23,9 @@ def expr(spark: SparkSession, d: str) -> DataFrame:
     """expr: quantities of part groups bought by customers."""
     lines = table(spark, d, "lineitem").select("l_orderkey", (F.col("l_partkey") % 100).alias("g"), "l_quantity")
     orders = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("cell"))
-    sums = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).groupBy("cell", "g").agg(F.sum("l_quantity").alias("value"))
+    # Dealt out by customer once: the sums, the segment and what gathers a customer's groups need no further shuffle.
+    bought = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select("cell", "g", "l_quantity").repartition("cell")
+    sums = bought.groupBy("cell", "g").agg(F.sum("l_quantity").alias("value"))
     # The segment goes on after the sum: one row for each customer and group.
     return sums.join(customers(spark, d).select("species", "cell"), "cell").select("species", "cell", F.concat("species", F.lit("_"), F.col("g").cast("string")).alias("gene"), "value")
 

@@ -286,7 +286,7 @@ XI = {
 def xi_pair_correlation(spark: SparkSession, d: str) -> DataFrame:
     """Values are rounded, so that equal ones tie in any order of summation."""
     pairs = domain.shared_homology(spark, d).filter("g1 < g2")
-    return refine.xi_pairs(pairs, averaged(spark, d).withColumn("value", r("value")), domain.customers(spark, d)).select("g1", "g2", r("corr").alias("corr"))
+    return refine.xi_pairs(pairs, customer_graph(spark, d), domain.expr(spark, d), domain.customers(spark, d), 6).select("g1", "g2", r("corr").alias("corr"))
 
 
 def _renamed(sql: str, **names: str) -> str:

@@ -410,3 +410,31 @@ def test_orthology_pairs_of_one_large_group_are_spread(spark):
     parts = paralogs.orthology_pairs(spark.createDataFrame([r for r in rows[:120]], packed.schema), 1, 7)
     sizes = [n for n in parts.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]
     assert len(sizes) > 8 and max(sizes) < len(want) / 4
+
+
+def test_xi_of_pairs_by_blocks_against_ranks(spark, monkeypatch):
+    """Several blocks and tasks, negative and inexact values, ties, cells without edges or values: as ranked row by row; no row for each pair and cell is planned."""
+    from crossweave.operators import cell_blocks
+
+    rng = np.random.default_rng(3)
+    species = [f"s{i % 3}" for i in range(150)]
+    cells = spark.createDataFrame([(i, s, "c") for i, s in enumerate(species)], "cell long, species string, cluster string")
+    values = {(i, f"{s}_{g}"): float(rng.integers(-2, 4)) * (0.1 if g else 1.0) for i, s in enumerate(species) for g in range(4) if rng.random() < 0.5}
+    edges = [(i, int(j), float(rng.integers(1, 4))) for i in range(140) for j in rng.choice(150, 3, replace=False)]
+    expr = spark.createDataFrame([(species[i], i, g, v) for (i, g), v in values.items()], "species string, cell long, gene string, value double")
+    graph = spark.createDataFrame(edges, "src long, dst long, weight double")
+    pairs = [(f"s{a}_{g}", f"s{b}_{h}", f"s{a}", f"s{b}") for a in range(3) for b in range(a, 3) for g in range(4) for h in range(4) if (a, g) < (b, h)]
+    monkeypatch.setattr(cell_blocks, "CELLS", 64)
+    monkeypatch.setattr(refine, "RANKED", 200)
+    got_frame = refine.xi_pairs(spark.createDataFrame(pairs, "g1 string, g2 string, s1 string, s2 string"), graph, expr, cells, 6)
+    got = {(r["g1"], r["g2"]): r["corr"] for r in got_frame.collect()}
+    mean = {(r["cell"], r["gene"]): round(r["value"], 6) for r in refine.averaged(graph, expr, cells).collect()}
+    for g, h, s, t in pairs:
+        own = [i for i in range(150) if species[i] in (s, t)]
+        x, y = (np.array([mean.get((i, name), 0.0) for i in own]) for name in (g, h))
+        r, l, n = (y[None] <= y[:, None]).sum(1), (y[None] >= y[:, None]).sum(1), len(own)
+        d = 2 * (l * (n - l)).sum()
+        want = 1 - n * np.abs(np.diff(r[np.argsort(x, kind="stable")])).sum() / d if d else 0.0
+        assert abs(got[g, h] - want) < 1e-9
+    assert len(got) == len(pairs)
+    assert "Window" not in got_frame._jdf.queryExecution().toString()
