@@ -438,3 +438,25 @@ def test_xi_of_pairs_by_blocks_against_ranks(spark, monkeypatch):
         assert abs(got[g, h] - want) < 1e-9
     assert len(got) == len(pairs)
     assert "Window" not in got_frame._jdf.queryExecution().toString()
+
+
+def test_exact_neighbours_take_no_rows_but_the_best(spark):
+    """Ties, copies, zero vectors, more tiles than one, own dataset: as by brute force; the search gives k rows for each cell and dataset by itself."""
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-1, 2, (90, 3)).astype(float)
+    species = [f"s{i % 3}" for i in range(90)]
+    latent = spark.createDataFrame([(f"c{i}", species[i], vectors[i].tolist()) for i in range(90)], "cell string, species string, vec array<double>")
+    norm = np.linalg.norm(vectors, axis=1, keepdims=True)
+    unit = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
+    cos = np.round(unit @ unit.T, 12)
+    for other in (True, False):
+        want = set()
+        for i in range(90):
+            for s in sorted(set(species)):
+                if (s != species[i]) == other:
+                    near = sorted((j for j in range(90) if species[j] == s and j != i), key=lambda j: (-cos[i, j], f"c{j}"))[:4]
+                    want |= {(f"c{i}", f"c{j}", s, float(cos[i, j]) + 0.0) for j in near}
+        for tile in (16384, 13):
+            got = knn.nearest(latent, 4, other, tile)
+            assert {(r["src"], r["dst"], r["dst_species"], r["cos"] + 0.0) for r in got.collect()} == want
+            assert "Window" not in got._jdf.queryExecution().toString()
