@@ -7,14 +7,17 @@ suffix from a smaller document; the least common prefix on the way there is the
 
 1. Every window of ``MATCH`` bytes has an anchor, the least-hashed ``GRAM`` bytes in it, so equal windows have
    equal anchors. An anchor stands for the run of windows that chose it. Tasks read documents in bounded blocks,
-   and send on, for each anchor, hashes of its bytes and of all bytes under its windows. Of equal runs in a block
-   only those of the least doc_id are sent; the others are settled.
-2. Anchors meet by hash. A run that a smaller document has in full is settled. Where only the anchors agree, the
-   texts under the windows have to be compared.
-3. Those texts are cut out (one shuffle of the documents) and meet by anchor; their suffixes are sorted and the
-   longest previous factors taken. Anchors of more than ``MAX_CONTEXTS`` runs are cut into windows, of which a text
-   sends each different one once (with all its places) and a task only that of the least document, so that an
-   anchor isn't too large for a task, and a text that repeats itself isn't either.
+   and send on, for each anchor, hashes of its bytes, of the ``SIDE`` bytes on either side and of all bytes under its
+   windows. Of equal runs in a block only those of the least doc_id are sent; the others are settled.
+2. Anchors meet by hash. A run that a smaller document has in full is settled. Of the others, windows with ``SIDE``
+   bytes or more before the anchor can only match where those bytes agree too, and the rest of them only where the
+   bytes behind the anchor do: every window has one of the two. So a run has two parts, and the texts under a part's
+   windows have to be compared only where anchor and side agree. (Anchors alone agree by chance ever more often in
+   a larger corpus.)
+3. Those texts are cut out (one shuffle of the documents) and meet by anchor and side; their suffixes are sorted and
+   the longest previous factors taken. Groups of more than ``MAX_CONTEXTS`` parts are cut into windows, of which a text
+   sends each different one once (with all its places) and a task only that of the least document, so that a
+   group isn't too large for a task, and a text that repeats itself isn't either.
 4. The settled runs of a document are united and its remaining bytes kept.
 
 In step 3 windows are equal if their bytes are. In steps 1 and 2 whole runs are taken as equal if their hashes are:
@@ -38,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,11 +50,13 @@ from crossweave.llm.common import TEXT_ROWS, arrow_map, give_back, partitions, s
 
 MATCH = 50
 GRAM = 20
+#: Bytes on one side of the anchor: half of what a window has beside it.
+SIDE = (MATCH - GRAM) // 2
 #: Bytes of text in a block; one document may be longer.
 BLOCK_BYTES = 12 << 20
 #: Windows that are hashed at once (at most 2^20: a position takes 20 bits beside its hash).
 CHUNK = 1 << 16
-#: Runs of one anchor beyond which its windows are dealt out one by one.
+#: Parts of runs in one group beyond which their windows are dealt out one by one.
 MAX_CONTEXTS = 4_000
 #: Hash buckets for each shuffle partition.
 BUCKETS = 8
@@ -87,10 +93,21 @@ def _span_hashes(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np
     return _mix(out)
 
 
+def _side_hashes(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of 24 bits of the bytes [start, start + size), for a size of eight or more; of starts outside, of no meaning."""
+    out = np.zeros(len(starts), np.uint64)
+    for at in [*range(0, size - 8, 8), size - 8]:
+        out = (out ^ words[np.clip(starts + at, 0, len(words) - 1)]) * _U(0xD6E8FEB86659FD93)
+        out ^= out >> _U(32)
+    return out & _U(2**24 - 1)
+
+
 def anchors(raw: np.ndarray, ends: np.ndarray, match: int = MATCH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, anchor hash, run hash, first window, number of windows) of the anchors of texts that lie end to end.
+    """(text, anchor hash, run hash, first window, number of windows, how many of them have ``SIDE`` bytes or more before the
+    anchor, hash of the side before it, hash of the side behind it) of the anchors of texts that lie end to end.
 
-    ``ends``: where each text ends in ``raw``; no window crosses an end."""
+    ``ends``: where each text ends in ``raw``; no window crosses an end. A side's hash counts only where a window has that side."""
+    side = (match - gram) // 2
     n = len(raw) - match + 1  # windows
     begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
     found = []
@@ -122,9 +139,12 @@ def anchors(raw: np.ndarray, ends: np.ndarray, match: int = MATCH, gram: int = G
         count = np.minimum(np.append(first[1:], windows), ends[text] - match + 1 - at) - first
         some = count > 0
         first, count, text = first[some], count[some], text[some]
-        found.append((text, hashes[chosen[first]], _span_hashes(words, first, count + match - 1), first + at - begins[text], count))
+        place = chosen[first]
+        far = np.clip(place - first - side + 1, 0, count)  # the first windows of a run lie furthest before its anchor
+        sides = _side_hashes(words, place - side, side), _side_hashes(words, place + gram, side)
+        found.append((text, hashes[place], _span_hashes(words, first, count + match - 1), first + at - begins[text], count, far, *sides))
     if not found:
-        return tuple(np.zeros(0, np.uint64 if k in (1, 2) else np.int64) for k in range(5))
+        return tuple(np.zeros(0, np.uint64 if k in (1, 2, 6, 7) else np.int64) for k in range(8))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -164,11 +184,16 @@ def longest_previous(owners: np.ndarray, shared: np.ndarray, least: int = 0) ->
 def repeated_windows(groups: np.ndarray, owners: np.ndarray, contexts: list[bytes], match: int = MATCH) -> list[np.ndarray]:
     """For each context, which of its windows also are in a context of its group with a smaller owner."""
     sizes = np.array([len(x) for x in contexts], np.int64)
+    hit, of = _windows(groups, owners, np.frombuffer(b"".join(contexts), np.uint8), sizes, match)
+    return np.split(hit, np.searchsorted(of, np.arange(1, len(contexts))))
+
+
+def _windows(groups: np.ndarray, owners: np.ndarray, raw: np.ndarray, sizes: np.ndarray, match: int = MATCH) -> tuple[np.ndarray, np.ndarray]:
+    """For all windows of contexts that lie end to end: whether a context of the group with a smaller owner has it, and whose it is."""
     offsets = np.cumsum(sizes) - sizes
     count = sizes - match + 1
-    raw = np.frombuffer(b"".join(contexts), np.uint8)
     words = _words(raw).byteswap()  # big-endian: numbers sort as bytes do
-    of = np.repeat(np.arange(len(contexts)), count)
+    of = np.repeat(np.arange(len(sizes)), count)
     firsts = np.cumsum(count) - count
     start = offsets[of] + np.arange(len(of)) - firsts[of]
     steps = [*range(0, match - 8, 8), match - 8]
@@ -192,25 +217,37 @@ def repeated_windows(groups: np.ndarray, owners: np.ndarray, contexts: list[byte
     far = longest_previous(owner[order], shared, match)
     hit = np.zeros(len(of), bool)
     hit[some[order]] = far >= match
-    return np.split(hit, firsts[1:])
+    return hit, of
+
+
+#: Bytes of the hashes of anchor, run and sides between blocks.
+WIDTHS = (5, 6, 3, 3)
 
 
-def _pack(h: np.ndarray, c: np.ndarray, key: np.ndarray, first: np.ndarray, count: np.ndarray) -> bytes:
-    n = len(h)
-    hashes = np.concatenate([h.astype("<u8").view(np.uint8).reshape(n, 8)[:, :5].ravel(), c.astype("<u8").view(np.uint8).reshape(n, 8)[:, :6].ravel()])
-    rest = b"".join([np.diff(key, prepend=np.int64(0)).astype("<i8").view(np.uint8).reshape(n, 8).T.tobytes(), first.astype("<u8").view(np.uint8).reshape(n, 8).T.tobytes(), count.astype(np.uint8).tobytes()])
-    return n.to_bytes(4, "little") + hashes.tobytes() + zstandard.ZstdCompressor(level=1).compress(rest)
+def _bytes_of(x: np.ndarray) -> np.ndarray:
+    return x.astype("<u8").view(np.uint8).reshape(len(x), 8)
+
+
+def _pack(key: np.ndarray, first: np.ndarray, count: np.ndarray, *more: np.ndarray) -> bytes:
+    """``more``: hashes of anchor, run and sides, and far; nothing for settled runs."""
+    hashes = [_bytes_of(x)[:, :w].tobytes() for x, w in zip(more, WIDTHS)]
+    rest = [_bytes_of(np.diff(key, prepend=np.int64(0))).T.tobytes(), _bytes_of(first).T.tobytes(), *(x.astype(np.uint8).tobytes() for x in (count, *more[4:]))]
+    return len(key).to_bytes(4, "little") + bool(more).to_bytes() + b"".join(hashes) + zstandard.ZstdCompressor(level=1).compress(b"".join(rest))
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    n = int.from_bytes(blob[:4], "little")
-    h, c = np.zeros((n, 8), np.uint8), np.zeros((n, 8), np.uint8)
-    h[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, 4).reshape(n, 5)
-    c[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, 4 + 5 * n).reshape(n, 6)
-    rest = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4 + 11 * n :]), np.uint8)
+    """Hashes of anchor and run (of settled runs, zeros), key, first and count; of runs to compare, also hashes of sides, and far."""
+    n, more, at = int.from_bytes(blob[:4], "little"), blob[4], 5
+    hashes = [np.zeros((n, 8), np.uint8) for _ in WIDTHS]
+    for x, w in zip(hashes if more else (), WIDTHS):
+        x[:, :w] = np.frombuffer(blob, np.uint8, w * n, at).reshape(n, w)
+        at += w * n
+    h, c, before, behind = (x.view("<u8").ravel() for x in hashes)
+    rest = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[at:]), np.uint8)
     key = np.cumsum(np.ascontiguousarray(rest[: 8 * n].reshape(8, n).T).view("<i8").ravel())
     first = np.ascontiguousarray(rest[8 * n : 16 * n].reshape(8, n).T).view("<i8").ravel()
-    return h.view("<u8").ravel(), c.view("<u8").ravel(), key, first, rest[16 * n :].astype(np.int64)
+    own = h, c, key, first, rest[16 * n : 17 * n].astype(np.int64)
+    return (*own, before, behind, rest[17 * n :].astype(np.int64)) if more else own
 
 
 def _block(docs: list[tuple], buckets: int) -> Iterator[tuple[int, int, bytes]]:
@@ -219,7 +256,7 @@ def _block(docs: list[tuple], buckets: int) -> Iterator[tuple[int, int, bytes]]:
     if not docs:
         return
     ends = np.cumsum([len(d[1]) for d in docs])
-    text, h, c, first, count = anchors(np.frombuffer(b"".join(d[1] for d in docs), np.uint8), ends)
+    text, h, c, first, count, far, before, behind = anchors(np.frombuffer(b"".join(d[1] for d in docs), np.uint8), ends)
     key = np.array([d[0] for d in docs], np.int64)[text]
     first = first + (np.array([d[2] if len(d) > 2 else 0 for d in docs], np.int64) << POSITION_BITS)[text]
     c &= _U(2**48 - 1)
@@ -237,7 +274,7 @@ def _block(docs: list[tuple], buckets: int) -> Iterator[tuple[int, int, bytes]]:
         cuts = np.flatnonzero(np.diff(bucket[rows], prepend=-1))
         for a, b in zip(cuts, np.append(cuts[1:], len(rows))):
             at = rows[a:b]
-            yield int(bucket[at[0]]), kind, _pack(inner[at], c[at], key[at], first[at], count[at])
+            yield int(bucket[at[0]]), kind, _pack(*(x[at] for x in (key, first, count, *(() if kind else (inner, c, before, behind, far)))))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -259,25 +296,37 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return hashed.join(slots, ["__key", "__h"], "left").withColumn("__slot", F.coalesce("__slot", F.lit(0))).drop("__h")
 
 
-def _settle(inner, c, key, first, count) -> dict[str, np.ndarray]:
-    """Anchors of whole buckets: settled runs (group null), and runs to compare, by group."""
+def _settle(inner, c, key, first, count, before, behind, far) -> dict[str, np.ndarray]:
+    """Anchors of whole buckets: settled runs (group null), and parts of runs to compare, by group."""
     order = np.lexsort((key, c, inner))
-    inner, c, key, first, count = (x[order] for x in (inner, c, key, first, count))
+    inner, c, key, first, count, before, behind, far = (x[order] for x in (inner, c, key, first, count, before, behind, far))
     new_h = np.concatenate(([True], inner[1:] != inner[:-1]))
     new_c = new_h | np.concatenate(([True], c[1:] != c[:-1]))
     of_c, of_h = np.cumsum(new_c) - 1, np.cumsum(new_h) - 1
     settled = key > key[new_c][of_c]
     runs = np.bincount(of_h[new_c], minlength=of_h[-1] + 1)  # different runs of each anchor
-    all_runs = np.bincount(of_h[~settled], minlength=of_h[-1] + 1)
     least, most = np.minimum.reduceat(key, np.flatnonzero(new_h)), np.maximum.reduceat(key, np.flatnonzero(new_h))
     open_ = ~settled & (runs > 1)[of_h] & (least < most)[of_h]
-    keep = settled | open_
-    group = np.where(open_, inner.view(np.int64), -1)
-    return {"key": key[keep], "first": first[keep], "count": count[keep], "group": group[keep], "hot": (all_runs > MAX_CONTEXTS)[of_h][keep]}
+    out = [(key[settled], first[settled], count[settled], np.full(settled.sum(), -1), np.zeros(settled.sum(), bool))]
+    for side, hashes, begin, many in ((0, before, first, far), (1, behind, first + far, count - far)):
+        at = np.flatnonzero(open_ & (many > 0))
+        if not len(at):
+            continue
+        group = _mix((inner[at] << _U(24) | hashes[at]) + _U(side)) >> _U(24)
+        order = np.argsort(group, kind="stable")
+        at, group = at[order], group[order]
+        fresh = np.concatenate(([True], group[1:] != group[:-1]))
+        starts, of = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        differs = [np.minimum.reduceat(x[at], starts) < np.maximum.reduceat(x[at], starts) for x in (c, key)]
+        meets = (differs[0] & differs[1])[of]
+        hot = (np.bincount(of) > MAX_CONTEXTS)[of]
+        at, group, hot = at[meets], group[meets], hot[meets]
+        out.append((key[at], begin[at], many[at], group.view(np.int64), hot))
+    return dict(zip(("key", "first", "count", "group", "hot"), map(np.concatenate, zip(*out))))
 
 
 def _runs(docs: DataFrame) -> DataFrame:
-    """key, first, count, grp, hot: settled runs (grp is null) and runs to compare, of ``docs(key, slot, text)``."""
+    """key, first, count, grp, hot: settled runs (grp is null) and parts of runs to compare, of ``docs(key, slot, text)``."""
     n = partitions(docs.sparkSession)
     buckets = BUCKETS * n
 
@@ -311,7 +360,7 @@ def _runs(docs: DataFrame) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             if held:
                 made = _settle(*(np.concatenate(x) for x in zip(*held)))
-                # A group is known by its bucket and the hash within it.
+                # A group is known by its bucket and the hash within it; groups that fall together are told apart by their bytes.
                 group = np.where(made["group"] >= 0, (made["group"] * buckets + bucket) & NO_ID, -1)
                 yield send(made["key"], made["first"], made["count"], group, made["hot"])
 
@@ -332,31 +381,57 @@ def _runs(docs: DataFrame) -> DataFrame:
     return arrow_map(dealt, meet, "key long, first long, count int, grp long, hot boolean")
 
 
+def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of texts or binaries end to end, nulls being empty, and where each begins (and the last ends)."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset) if len(column) else np.zeros(1, np.int64)
+    data = column.buffers()[2]
+    return (np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]), offsets - offsets[0]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each range, one range after another."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _listed(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The row of each element of lists, and the elements."""
+    return np.repeat(np.arange(len(column)), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)), column.flatten()
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with their runs to the bytes under the runs' windows and where they start; windows of hot anchors one by one, once a text and task."""
+    """Texts with their runs to the bytes under the runs' windows and where they start; windows of hot groups one by one, once a text and task."""
+    names = ["grp", "key", "firsts", "context"]
     seen: dict[bytes, int] = {}
     for batch in batches:
-        rows = []
-        for key, text, runs in zip(*(batch.column(n).to_pylist() for n in ("key", "text", "runs"))):
-            raw = text.encode("utf-8", "surrogatepass")
-            places: dict[bytes, list[int]] = {}
-            for run in runs:
-                base, first, count = run["first"] >> POSITION_BITS << POSITION_BITS, run["first"] & (1 << POSITION_BITS) - 1, run["count"]
-                if not run["hot"]:
-                    rows.append((run["grp"], key, [base + first], raw[first : first + count + MATCH - 1]))
-                    continue
-                for at in range(first, first + count):
-                    places.setdefault(raw[at : at + MATCH], []).append(base + at)
-            for window, starts in places.items():
+        raw, offsets = _binary(batch.column("text"))
+        keys = batch.column("key").to_numpy()
+        row, runs = _listed(batch.column("runs"))
+        grp, first, count, hot = (runs.field(k).to_numpy(zero_copy_only=False) for k in ("grp", "first", "count", "hot"))
+        starts, sizes = (first & (1 << POSITION_BITS) - 1) + offsets[row], count.astype(np.int64) + MATCH - 1
+        cool = np.flatnonzero(~hot)
+        ends = np.concatenate(([0], np.cumsum(sizes[cool])))
+        context = pa.Array.from_buffers(pa.binary(), len(cool), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw[_ranges(starts[cool], sizes[cool])])])
+        each = pa.ListArray.from_arrays(pa.array(np.arange(len(cool) + 1), pa.int32()), pa.array(first[cool]))
+        yield pa.RecordBatch.from_arrays([pa.array(grp[cool]), pa.array(keys[row[cool]]), each, context], names=names)
+        rows, warm = [], np.flatnonzero(hot)
+        for at in np.split(warm, np.flatnonzero(np.diff(row[warm])) + 1) if len(warm) else ():
+            key, places = int(keys[row[at[0]]]), {}
+            for run in at.tolist():
+                a, n, place = int(starts[run]), int(count[run]), int(first[run])
+                held = raw[a : a + n + MATCH - 1].tobytes()
+                for k in range(n):
+                    places.setdefault(held[k : k + MATCH], []).append(place + k)
+            for window, firsts in places.items():
                 if seen.get(window, key) < key:
-                    rows.append((None, key, starts, b""))  # settled: this task has it from a smaller document
+                    rows.append((None, key, firsts, b""))  # settled: this task has it from a smaller document
                     continue
                 if len(seen) >= 200_000:
                     seen.clear()
                 seen[window] = key
-                rows.append((int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), key, starts, window))
-        columns = list(zip(*rows)) if rows else [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))], names=["grp", "key", "firsts", "context"])
+                rows.append((int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little", signed=True), key, firsts, window))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))], names=names)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,14 +440,20 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
-        groups, owners = table["grp"].to_numpy(), table["key"].to_numpy()
-        contexts, places = table["context"].to_pylist(), table["firsts"].to_pylist()
-        rows = []
-        for key, firsts, hit in zip(owners.tolist(), places, repeated_windows(groups, owners, contexts)):
-            edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0))
-            rows += [(key, first + a, b - a) for first in firsts for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
-        columns = list(zip(*rows)) if rows else [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32()))], names=["key", "first", "count"])
+        owners = table["key"].to_numpy()
+        raw, offsets = _binary(table["context"].combine_chunks())
+        hit, of = _windows(table["grp"].to_numpy(), owners, raw, np.diff(offsets))
+        edge = np.concatenate(([True], of[1:] != of[:-1], [True]))
+        begins = np.flatnonzero(hit & (edge[:-1] | ~np.concatenate(([False], hit[:-1]))))
+        ends = np.flatnonzero(hit & (edge[1:] | ~np.concatenate((hit[1:], [False]))))
+        context, count = of[begins], ends - begins + 1
+        begins = begins - np.searchsorted(of, context)
+        # Each place of a context has its hits.
+        row, places = _listed(table["firsts"].combine_chunks())
+        many = np.bincount(row, minlength=table.num_rows)
+        first = places.to_numpy()[_ranges((np.cumsum(many) - many)[context], many[context])] + np.repeat(begins, many[context])
+        columns = np.repeat(owners[context], many[context]), first, np.repeat(count, many[context]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "first", "count"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -389,16 +470,32 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(pa.concat_tables(held))
 
 
+def _merged(row: np.ndarray, first: np.ndarray, count: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, begin and end of the maximal runs of bytes under runs of windows, by row and place; ``sizes``: of the rows' texts."""
+    base = np.cumsum(sizes + 1) - sizes - 1  # with a gap, so that no run goes on in the next row
+    order = np.argsort(base[row] + first, kind="stable")
+    row, begin = row[order], first[order]
+    end = begin + count[order] + MATCH - 1
+    reach = np.maximum.accumulate(base[row] + end)
+    starts = np.flatnonzero(np.concatenate(([True], (base[row] + begin)[1:] > reach[:-1]))) if len(row) else np.zeros(0, np.int64)
+    return row[starts], begin[starts], (reach[np.append(starts[1:], len(row)) - 1] - base[row[starts]] if len(row) else starts)
+
+
 def _union(lists: list) -> list[tuple[int, int]]:
     """Maximal runs of bytes under runs of windows."""
-    spans = sorted((r["first"], r["first"] + r["count"] + MATCH - 1) for runs in lists if runs for r in runs)
-    out: list[tuple[int, int]] = []
-    for a, b in spans:
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+    first, count = (np.array([r[k] for runs in lists if runs for r in runs], np.int64) for k in ("first", "count"))
+    _, begin, end = _merged(np.zeros(len(first), np.int64), first, count, np.zeros(1, np.int64))
+    return list(zip(begin.tolist(), end.tolist()))
+
+
+def _cuts(batch: pa.RecordBatch, runs: str) -> tuple[list[list[tuple[int, int]]], np.ndarray, np.ndarray]:
+    """For each row what to cut, the bytes of its text and where they begin."""
+    _, offsets = raw = _binary(batch.column("text"))
+    row, found = _listed(batch.column(runs))
+    row, begin, end = _merged(row, found.field("first").to_numpy().astype(np.int64), found.field("count").to_numpy().astype(np.int64), np.diff(offsets))
+    spans = list(zip(begin.tolist(), end.tolist()))
+    at = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
+    return [spans[a:b] for a, b in zip(at, at[1:])], *raw
 
 
 def spans(keyed: DataFrame) -> DataFrame:
@@ -422,10 +519,10 @@ def spans(keyed: DataFrame) -> DataFrame:
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist()):
-            raw = (text or "").encode("utf-8", "surrogatepass")
-            cut = _union([runs])
-            rows.append((len(raw), sum(b - a for a, b in cut), len(cut), hashlib.sha256(remaining(raw, cut)).hexdigest()))
+        cuts, raw, offsets = _cuts(batch, "runs")
+        for cut, a, b in zip(cuts, offsets.tolist(), offsets[1:].tolist()):
+            text = raw[a:b].tobytes()
+            rows.append((len(text), sum(b - a for a, b in cut), len(cut), hashlib.sha256(remaining(text, cut)).hexdigest()))
         columns = list(zip(*rows)) if rows else [()] * 4
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.string())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -457,9 +554,10 @@ def strip(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made, every = [], batch.column("__runs").to_pylist()
-            for text, runs in zip(batch.column("text").to_pylist(), every):
-                made.append(remaining(text.encode("utf-8", "surrogatepass"), _union([runs])).decode("utf-8", "ignore") if runs and text else text)
+            every, raw, offsets = _cuts(batch, "__runs")
+            made = batch.column("text").to_pylist()
+            for k in (k for k, cut in enumerate(every) if cut):
+                made[k] = remaining(raw[offsets[k] : offsets[k + 1]].tobytes(), every[k]).decode("utf-8", "ignore")
             columns = dict(zip(others, batch.column("others").flatten())) if others else {}
             if "n_chars" in columns:
                 old = columns["n_chars"]

@@ -97,6 +97,23 @@ def test_blocks_and_chunks_in_process(monkeypatch):
         assert sorted(got, key=str) == brute(docs), seed
 
 
+def test_anchors_that_agree_by_chance_are_not_compared():
+    """Texts that share bytes around an anchor, though no window, need no comparison; those that share a window on either side do."""
+    rng = random.Random(5)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    core = noise(30)
+
+    def open_runs(docs):
+        rows = [sd._unpack(blob) for a in docs for _, kind, blob in sd._block([a], 1) if not kind]
+        made = sd._settle(*(np.concatenate(x) for x in zip(*rows)))
+        return (made["group"] >= 0).sum()
+
+    assert open_runs([(i, (noise(100) + core + noise(100)).encode()) for i in range(300)]) == 0
+    assert open_runs([(i, (noise(100) + core + noise(100)).encode() + b"tail" * (i > 297)) for i in range(300)]) == 0
+    for shared in (noise(50), noise(51), noise(64)):
+        assert open_runs([(i, (noise(100) + shared + noise(100)).encode()) for i in range(3)]) >= 3
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 12)), max_size=40), st.integers(0, 6))
 def test_longest_previous(rows, least):
