@@ -460,3 +460,24 @@ def test_exact_neighbours_take_no_rows_but_the_best(spark):
             got = knn.nearest(latent, 4, other, tile)
             assert {(r["src"], r["dst"], r["dst_species"], r["cos"] + 0.0) for r in got.collect()} == want
             assert "Window" not in got._jdf.queryExecution().toString()
+
+
+def test_projection_of_packed_cells_equals_joined_rows(world, spark, monkeypatch):
+    """Also with a cell without expression, one that isn't among the cells, and a component that no feature in use has."""
+    from crossweave.operators import latent
+
+    cells = world["cells"].unionByName(spark.createDataFrame([("hu", "hu_bare", "0")], world["cells"].schema))
+    expr = world["expr"].unionByName(spark.createDataFrame([("ms", "ms_other", "ms_g01", 3.0)], world["expr"].schema))
+    loadings = world["loadings"].unionByName(spark.createDataFrame([("hu", "hu_none", 4, 1.0)], world["loadings"].schema))
+    make = lambda: Mapping(expr, cells, world["genes"], world["graph"], loadings, edges=world["homology"])
+    got = {r["cell"]: r["vec"] for r in make()._joint().collect()}
+    monkeypatch.setattr(latent, "STEP", 7)
+    monkeypatch.setattr(latent, "VALUES", 5 * 2 * G)
+    small = {r["cell"]: r["vec"] for r in make()._joint().collect()}
+    plan = make()._joint()._jdf.queryExecution().toString()
+    assert "Exchange" not in plan.split("Physical Plan")[1]  # no shuffle of rows for each cell and feature
+    monkeypatch.setattr(latent, "MOST_EDGES", 0)
+    want = {r["cell"]: r["vec"] for r in make()._joint().collect()}
+    assert got.keys() == want.keys() == small.keys() and "hu_bare" in got
+    for c in want:
+        assert np.allclose(got[c], want[c], atol=1e-9) and np.allclose(small[c], want[c], atol=1e-9)
